@@ -154,6 +154,12 @@ def mix(docs: DataFrame, domain: Column, weights: Weights = Weights(), total_tok
     return out
 
 
+def prefix(text: Column, words: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    size = lambda xs: F.aggregate(F.slice(xs, F.lit(1), F.greatest(words, F.lit(1)).cast("int")), F.lit(0), lambda a, x: a + F.length(x))
+    return F.substring(text, F.lit(1), size(F.split(text, WORD, -1)) + size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))))
+
+
 def _with_leaf(df: DataFrame, rows: list[tuple], columns: str) -> DataFrame:
     """Join what the plan says of each leaf.  The table has a row for each leaf
     and is broadcast up to BROADCAST_LEAVES of them; beyond, AQE deals the join."""

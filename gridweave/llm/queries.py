@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, sql, url_filter, warc
+from . import decontaminate, divergence, html_main, mixing, quality_gam, secrets, simhash, sql, token_counts, url_filter, warc
 from .common import shared_dir, table
 
 #: op1: domains are groups of sources; weights by tree path.
@@ -24,6 +24,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, source_group(), MIX, share=0.5, seed=17, max_epochs=4).drop("text")
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+def document_edits() -> F.Column:
+    """op3: the edits of a packing step: a head, a cut of 16 characters in the
+    middle and a tail."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda a, b, t: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(t).alias("text"))
+    return F.array(edit(F.lit(0), F.lit(0), "<doc>\n"), edit(F.floor(n / 2), F.floor(n / 2) + 16, ""), edit(n, n, "\n</doc>"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"), document_edits())
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +48,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = secrets.span_list(secrets.KINDS[:3])
+    counts = {f"n_{k}": F.size(k).cast("long") for k in secrets.KINDS}
+    return found.select("doc_id", *[c.alias(k) for k, c in counts.items()], F.sha2(base, 256).alias("base_sha256"), secrets.span_list(secrets.KINDS).alias("spans"))
+
+
 def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -39,10 +62,34 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
+    return quality_gam.score(docs, model).select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), window=10)
+    items = F.col("leak.items")
+    return found.select("doc_id", "leak.n_words", "leak.n_hit", F.size(items).cast("long").alias("n_items"), decontaminate.digest(items).alias("items_sha256"), (F.col("leak.n_hit") > 0).alias("contaminated"))
+
+
+def op10_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = divergence.judge(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_html_main_text": op2_html_main_text,
+    "op3_token_counts": op3_token_counts,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_secret_scan": op6_secret_scan,
     "op7_warc_salvage": op7_warc_salvage,
+    "op8_quality_gam": op8_quality_gam,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_divergence": op10_divergence,
 }
 ORACLE_SQL = sql.ORACLE_SQL

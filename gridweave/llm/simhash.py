@@ -156,14 +156,39 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("components do not settle")
 
 
-def near_duplicates(docs: DataFrame, small_bucket: int = 32) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row."""
-    rows = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def _components_of(rows: DataFrame, first: Column, small_bucket: int) -> DataFrame:
+    """(fp, low): the least ``first`` of each fingerprint's component; ``rows``
+    has fp and what ``first`` needs."""
+    fps = cut(rows.groupBy("fp").agg(F.min(first).alias("first")))
     label = components(links(fps, small_bucket))
     linked = cut(fps.join(label.withColumnRenamed("node", "fp"), "fp"))
     lows = cut(linked.groupBy("label").agg(F.min("first").alias("low")))
     found = linked.join(lows, "label").select("fp", "low")
-    whole = cut(fps.join(found, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
+    return cut(fps.join(found, "fp", "left").select("fp", F.coalesce("low", "first").alias("low")))
+
+
+def near_duplicates(docs: DataFrame, small_bucket: int = 32) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each row."""
+    rows = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
+    whole = _components_of(rows, F.col("doc_id"), small_bucket).withColumnRenamed("low", "component_id")
     # a hot fingerprint's rows are split by AQE: both sides are plain exchanges
     return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, small_bucket: int = 32) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id
+    (null last), then of the smallest text hash.  Columns stay the same."""
+    key = {"_id": F.col("doc_id"), "_t": F.coalesce(F.xxhash64("text"), F.lit(0))}
+    rows = cut(docs.select(key["_id"].alias("_id"), key["_t"].alias("_t"), fingerprints(F.col("text")).alias("fp")))
+    who = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_t").alias("t"))
+    low = _components_of(rows, who, small_bucket)
+    judged = cut(rows.join(low, "fp").groupBy("_id", "_t").agg(F.count("*").alias("_n"), F.min(who == F.col("low")).alias("_stays")))
+    keyed = docs.withColumns(key)
+    on = lambda t: keyed["_id"].eqNullSafe(t["_id"]) & (keyed["_t"] == t["_t"])
+    gone = judged.where("not _stays or _n > 1")
+    kept = keyed.join(gone, on(gone), "left_anti").select(*docs.columns)
+    again = judged.where("_stays and _n > 1")
+    if not again.isEmpty():  # the same row several times
+        twice = keyed.join(again, on(again), "left_semi").dropDuplicates(["_id", "_t"]).select(*docs.columns)
+        kept = kept.unionByName(twice)
+    return kept

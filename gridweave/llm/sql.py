@@ -35,4 +35,24 @@ SELECT p.page_id, payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND payload_bytes >= 1000
 """
 
-ORACLE_SQL = {"op5_url_filter": OP5, "op7_warc_salvage": OP7}
+_LEAK_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP9 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LEAK_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_LEAK_WORDS} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM iw),
+dw AS (
+  SELECT r, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS win
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes WHERE len(w) >= k)),
+hit AS (SELECT r, dw.k, p, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.win = iw.win),
+words AS (SELECT r, count(DISTINCT p + o) AS n FROM (SELECT DISTINCT r, k, p, unnest(range(0, k)) AS o FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLE_SQL = {"op5_url_filter": OP5, "op7_warc_salvage": OP7, "op9_decontaminate": OP9}
