@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut as cut
+
 #: ASCII white space as the contracts list it: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,10 +36,3 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that a lost executor costs
-    a re-read and not a re-run of everything before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import cut
 
 SEGMENTS, SEGMENT_BITS, MAX_DISTANCE = 4, 16, 2
@@ -133,29 +134,6 @@ def _bit(b: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), b)
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, label): the smallest node reachable over ``edges`` (a, b)."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    state = lambda df: df.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-    before = state(labels)
-    for _ in range(max_rounds):
-        # the smallest label next to each node, its own label's label, and a hook for its label
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        own = cut(labels.join(near, "node"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        moved = own.join(up, "label").select(F.inline(F.array(
-            F.struct(F.col("node").alias("node"), F.least("low", "above", "label").alias("label")),
-            F.struct(F.col("label").alias("node"), F.least("low", "above").alias("label")),
-        )))
-        labels = cut(moved.groupBy("node").agg(F.min("label").alias("label")))
-        after = state(labels)
-        if after == before:
-            return labels
-        before = after
-    raise RuntimeError("components do not settle")
-
-
 def _components_of(rows: DataFrame, first: Column, small_bucket: int) -> DataFrame:
     """(fp, low): the least ``first`` of each fingerprint's component; ``rows``
     has fp and what ``first`` needs."""
