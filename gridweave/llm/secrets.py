@@ -77,7 +77,7 @@ def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
     strings = F.when(F.col("id") % 4 == 0, F.substring(bit(1), 1, 40)).otherwise(F.regexp_replace(F.base64(F.unhex(bit(2))), "=", ""))
     strings = F.when(F.col("id") % 4 == 1, F.upper(F.regexp_replace(strings, "[+/]", "X"))).otherwise(strings)
     parts = F.array(*map(F.lit, PARTS))
-    pick = lambda k: F.get(parts, (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(PARTS)))).cast("int"))
+    pick = lambda k: F.get(parts, (F.conv(F.substring(bit(10 + k), 1, 8), 16, 10).cast("long") % len(PARTS)).cast("int"))
     names = F.when(F.col("id") % 3 == 0, F.concat_ws("_", *map(pick, range(4)))).when(F.col("id") % 3 == 1, F.concat(*[F.initcap(pick(k)) for k in range(5)])).otherwise(F.concat(*map(pick, range(6))))
     return ids.select(strings.alias("text"), F.lit(1).alias("label")).unionByName(ids.select(names.alias("text"), F.lit(0).alias("label")))
 
