@@ -72,25 +72,23 @@ def fill(budget: float, nodes: list[tuple[float, float]]) -> list[float]:
 def budgets(sizes: Mapping[Leaf, int], weights: Weights, total: float, max_epochs: int) -> dict[Leaf, int]:
     """Whole tokens for each leaf (rounded down)."""
     out: dict[Leaf, int] = {}
-
-    def room(path: tuple) -> float:
-        """What a subtree can take; a branch of weight 0 takes nothing."""
-        if weights.of(path) == 0:
-            return 0.0
-        if len(path) == 3:
-            return float(sizes[path] * max_epochs)
-        return sum(room(p) for p in below(path))
-
-    def below(path: tuple) -> list[tuple]:
-        found = {leaf[: len(path) + 1] for leaf in sizes if leaf[: len(path)] == path}
-        return sorted(found, key=lambda p: tuple((x is None, x or "") for x in p))
+    below: dict[tuple, set[tuple]] = {}
+    for leaf in sizes:
+        for depth in range(3):
+            below.setdefault(leaf[:depth], set()).add(leaf[: depth + 1])
+    #: what a subtree can take, from the leaves up; a branch of weight 0 takes nothing
+    room = {leaf: 0.0 if weights.of(leaf) == 0 else float(n * max_epochs) for leaf, n in sizes.items()}
+    for depth in (2, 1):
+        for path, kids in below.items():
+            if len(path) == depth:
+                room[path] = 0.0 if weights.of(path) == 0 else sum(room[k] for k in kids)
 
     def go(path: tuple, budget: float) -> None:
         if len(path) == 3:
             out[path] = min(int(budget + 1e-6), sizes[path] * max_epochs)
             return
-        kids = below(path)
-        for kid, part in zip(kids, fill(budget, [(weights.of(k), room(k)) for k in kids])):
+        kids = sorted(below.get(path, ()), key=lambda p: tuple((x is None, x or "") for x in p))
+        for kid, part in zip(kids, fill(budget, [(weights.of(k), room[k]) for k in kids])):
             go(kid, part)
 
     go((), total)
