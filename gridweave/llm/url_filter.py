@@ -45,8 +45,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: The default blocklist.
-LISTED = ("cheap-pills.example.com", "spam-farm.example.org", "casino-win.example.net", "click-bait.example.com", "malware-kit.example.org")
+#: The default blocklist: these names under each of the suffixes.
+LISTED = tuple(f"{name}.example.{top}" for name in ("cheap-pills", "spam-farm", "casino-win") for top in ("com", "net", "org"))
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
