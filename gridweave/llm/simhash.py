@@ -112,7 +112,8 @@ def links(fps: DataFrame, small_bucket: int = 32) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``fp``) whose
     components are those of all pairs within two bits."""
     keyed = fps.select("fp", F.inline(_keys(F.col("fp"))))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # a table of its own, so that AQE can split what a hot key's join reads
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = cut(keyed.join(sizes, "key"))
     small = shared.where(F.col("n") <= small_bucket).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("m"))
 
