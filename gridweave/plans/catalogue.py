@@ -365,18 +365,38 @@ def kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "n", F.round("m", 6).alias("m"), F.round("p", 6).alias("p"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL),
+s(user_id, k, bucket, frames, elapsed) AS (
+  SELECT user_id, k, 0::BIGINT, 1::BIGINT, coalesce(value, 0) FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.k, bucket + (elapsed > 100)::BIGINT, CASE WHEN elapsed > 100 THEN 1 ELSE frames + 1 END, CASE WHEN elapsed > 100 THEN 0 ELSE elapsed END + coalesce(e.value, 0)
+  FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT user_id, bucket, frames, round(elapsed, 6) AS elapsed, round(frames / elapsed, 9) AS rate FROM s WHERE elapsed > 100""")
 def frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.frame_rates(table(spark, sf_dir, "events").where("user_id is not null"), "user_id", ["ts", "event_id"], "value", 100.0)
+    out = track.frame_rates(table(spark, sf_dir, "events").where("user_id is not null"), "user_id", ["ts", "event_id"], "value", 100.0)
+    return out.withColumns({"elapsed": F.round("elapsed", 6), "rate": F.round("rate", 9)})
 
 
-@query()
+def _axis_sql(name: str, at: int, gain: float, noise: float, push: float) -> str:
+    """One axis of the filter: position, velocity and their covariance."""
+    d, c, q, u = (f"{v!r}::DOUBLE" for v in (0.01, gain, noise * noise, push))
+    return f"""{name}(id, k, x, v, a, b, e) AS (
+  SELECT vec_id, 0, 0::DOUBLE, 0::DOUBLE, 0.01::DOUBLE, 0::DOUBLE, 0.01::DOUBLE FROM m
+  UNION ALL SELECT id, k + 1, px + c * pa / s * (z - c * px), pv + c * pb / s * (z - c * px), pa - c * pa / s * c * pa, pb - c * pa / s * c * pb, pe - c * pb / s * c * pb
+  FROM (SELECT id, k, x + {d} * v AS px, v + {u} AS pv, a + 2 * {d} * b + {d} * {d} * e AS pa, b + {d} * e AS pb, e + {q} AS pe, {c} AS c, {c} * {c} * (a + 2 * {d} * b + {d} * {d} * e) + 1 AS s,
+    m.embedding[3 * (k + 1) + {at} + 1]::DOUBLE AS z FROM {name} JOIN m ON m.vec_id = id WHERE k < 20))"""
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) >= 63),
+{_axis_sql('fx', 0, 1.0, 0.25, 0.0)}, {_axis_sql('fy', 1, 5.0, 0.25, 0.0)}, {_axis_sql('fz', 2, 5.0, 0.1, -9.81 * 0.01)}
+SELECT id AS vec_id, k::INTEGER AS k, {', '.join(f'round({c}, 4) + 0.0::DOUBLE AS {n}' for c, n in (('fx.x', 'x'), ('fy.x', 'y'), ('fz.x', 'z'), ('fx.v', 'vx'), ('fy.v', 'vy'), ('fz.v', 'vz')))}
+FROM fx JOIN fy USING (id, k) JOIN fz USING (id, k)""")
 def kalman_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding's dims as a noisy 3-D series of 21 measurements."""
     at = lambda c: F.expr(f"transform(sequence(0, 20), k -> struct(k as k, embedding[3 * k + {c}] as v))")
     rows = table(spark, sf_dir, "embeddings").where("vec_id is not null and size(embedding) >= 63").select("vec_id", F.inline(F.arrays_zip(at(0).alias("a"), at(1).alias("b"), at(2).alias("c"))))
     series = rows.select("vec_id", F.col("a.k").alias("k"), F.col("a.v").alias("mx"), F.col("b.v").alias("my"), F.col("c.v").alias("mz"))
-    return track.kalman_track(series, "vec_id", [0.0] * 6)
+    out = track.kalman_track(series, "vec_id", [0.0] * 6)
+    return out.select("vec_id", "k", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")])
 
 
 @query(f"""WITH RECURSIVE {_BALLS}, s(id, k, x, y, z, vx, vy, vz) AS (
