@@ -8,7 +8,7 @@ stays with the parent's siblings: since a node's capacity is that of its
 subtree, filling level by level from the top does just that.
 
 A leaf's budget is then drawn as a prefix of its seeded epochs: epoch e is the
-leaf's rows in the order of a hash of (seed, e, doc_id, row digest); full epochs
+leaf's rows in the order of a hash of (seed, e, doc_id, text); full epochs
 come first, and the last one is cut at the budget, within a row if need be.  No
 leaf is sorted whole: rows fall into hash-range buckets, token sums by bucket
 (summed on the map side) give the bucket in which the budget ends, rows of
@@ -95,6 +95,13 @@ def budgets(sizes: Mapping[Leaf, int], weights: Weights, total: float, max_epoch
     return out
 
 
+def order_key(seed: int, epoch: Column, digest: Column) -> Column:
+    """60 bits of MD5 over seed, epoch, doc_id and the text's MD5: the place of
+    a row in an epoch."""
+    name = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), digest)
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, domain: Column, weights: Weights = Weights(), total_tokens: int | None = None, share: float = 0.5, seed: int = 17, max_epochs: int = 4, rows_per_bucket: int = 20_000, tokens: Column | None = None) -> DataFrame:
     """The drawn rows: the columns of ``docs`` plus domain, epoch, tokens and
     taken (tokens drawn from the row: fewer than tokens where the budget ends).
@@ -107,11 +114,10 @@ def mix(docs: DataFrame, domain: Column, weights: Weights = Weights(), total_tok
     keep = [c for c in docs.columns if c not in made]
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long") if tokens is None else tokens
     named = docs.withColumns({"_d": domain.cast("string"), "_n": n}).where("_n > 0").drop(*made)
-    order = lambda e: F.xxhash64(F.lit(seed), e, F.col("doc_id"), F.xxhash64("text"))
     shape = [*keep, F.col("_d").alias("domain"), "epoch", F.col("_n").alias("tokens"), "taken"]
 
     # one pass over the texts; what follows reads narrow rows
-    narrow = cut(named.select("doc_id", *LEAF, "_n", F.xxhash64("text").alias("_t")))
+    narrow = cut(named.select("doc_id", *LEAF, "_n", F.md5("text").alias("_t")))
     sizes = {tuple(r[:3]): (r[3], r[4]) for r in narrow.groupBy(*LEAF).agg(F.sum("_n"), F.count("*")).collect()}
     whole = sum(t for t, _ in sizes.values())
     total = whole * share if total_tokens is None else total_tokens
@@ -124,8 +130,8 @@ def mix(docs: DataFrame, domain: Column, weights: Weights = Weights(), total_tok
 
     # the bucket, then the row, in which each leaf's budget ends
     part = _with_leaf(narrow, [(k, full[k], rest[k]) for k in plan if rest[k]], "full int, rest long")
-    part = part.withColumn("_h", F.xxhash64(F.lit(seed), F.col("full"), F.col("doc_id"), F.col("_t")))
-    part = part.withColumn("_b", F.floor((F.shiftright("_h", 32) + 2**31) * buckets / 2**32).cast("int"))
+    part = part.withColumn("_h", order_key(seed, F.col("full"), F.col("_t")))
+    part = part.withColumn("_b", F.floor(F.shiftright("_h", 28) * buckets / 2**32).cast("int"))
     by_bucket = part.groupBy(*LEAF, "_b").agg(F.sum("_n").alias("_s"), F.first("rest").alias("rest"))
     by_bucket = by_bucket.withColumn("_to", F.sum("_s").over(Window.partitionBy(*LEAF).orderBy("_b")))
     ends = by_bucket.where("_to - _s < rest and _to >= rest").select(*LEAF, "_b", (F.expr("rest - _to + _s")).alias("left"))
@@ -137,7 +143,7 @@ def mix(docs: DataFrame, domain: Column, weights: Weights = Weights(), total_tok
     last = {tuple(r[:3]): tuple(r[3:]) for r in edge.collect()}  # one row for each leaf
 
     rows = [(k, full[k], *last.get(k, (None, 0, 1))) for k in plan]
-    drawn = _with_leaf(named, rows, "full int, _end long, _left long, _k long").withColumn("_h", order(F.col("full")))
+    drawn = _with_leaf(named, rows, "full int, _end long, _left long, _k long").withColumn("_h", order_key(seed, F.col("full"), F.md5("text")))
     none = F.array().cast("array<struct<epoch:int,taken:bigint>>")
     turn = lambda e, t: F.struct(e.alias("epoch"), t.cast("long").alias("taken"))
     turns = F.when(F.col("full") > 0, F.transform(F.sequence(F.lit(0), F.col("full") - 1), lambda e: turn(e, F.col("_n")))).otherwise(none)

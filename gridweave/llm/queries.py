@@ -11,12 +11,13 @@ from . import decontaminate, divergence, html_main, mixing, quality_gam, secrets
 from .common import shared_dir, table
 
 #: op1: domains are groups of sources; weights by tree path.
-DOMAINS = 4
-MIX = mixing.Weights({("group0",): 4.0, ("group1",): 3.0, ("group2",): 2.0, **{(f"group{d}", "en"): 3.0 for d in range(DOMAINS)}})
+DOMAINS = sql.DOMAINS
+MIX = mixing.Weights({**{(d,): w for d, w in sql.DOMAIN_WEIGHTS.items()}, **{(d, "en"): sql.ENGLISH_WEIGHT for d in sql.DOMAIN_WEIGHTS}})
 
 
 def source_group() -> F.Column:
-    return F.concat(F.lit("group"), F.crc32(F.coalesce("source", F.lit(""))) % DOMAINS)
+    first = F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 4)
+    return F.concat(F.lit("group"), (F.conv(first, 16, 10).cast("long") % DOMAINS).cast("string"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

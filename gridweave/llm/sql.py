@@ -160,4 +160,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 FROM out_
 """
 
-ORACLE_SQL = {"op5_url_filter": OP5, "op6_secret_scan": OP6, "op7_warc_salvage": OP7, "op9_decontaminate": OP9, "op10_divergence": OP10}
+
+#: op1's parameters, which its SQL shares.
+DOMAINS = 4
+DOMAIN_WEIGHTS = {"group0": 4.0, "group1": 3.0, "group2": 2.0, "group3": 1.0}
+ENGLISH_WEIGHT = 3.0
+
+
+def _fill(name: str, nodes: str, parent: str) -> str:
+    """Share each parent's budget ``b`` over its children (w, cap): all get
+    min(cap, level x w); levels rise up to the first child that is not full."""
+    by = f"PARTITION BY {parent} ORDER BY cap / w"
+    return f"""{name}_ratio AS (SELECT *, least(b, sum(cap) OVER (PARTITION BY {parent})) AS have, row_number() OVER ({by}) AS k FROM {nodes}),
+{name}_level AS (
+  SELECT *, (have - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY {parent} ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {name}_ratio),
+{name} AS (SELECT * EXCLUDE (b), least(cap, w * max(level) OVER (PARTITION BY {parent})) AS b FROM {name}_level)"""
+
+
+_WEIGHT = "CASE domain " + " ".join(f"WHEN '{d}' THEN {w}::DOUBLE" for d, w in DOMAIN_WEIGHTS.items()) + " END"
+
+OP1 = f"""
+WITH d AS (
+  SELECT doc_id, lang, source, 'group' || (('0x' || substr(md5(coalesce(source, '')), 1, 4))::BIGINT % {DOMAINS}) AS domain, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n, md5(text) AS t
+  FROM documents),
+doc AS (SELECT * FROM d WHERE n > 0),
+leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS size, 4.0::DOUBLE * sum(n) AS cap, 1.0::DOUBLE AS w FROM doc GROUP BY ALL),
+l1 AS (SELECT domain, sum(cap) AS cap, {_WEIGHT} AS w, (SELECT 0.5::DOUBLE * sum(n) FROM doc) AS b, 0 AS top FROM leaf GROUP BY domain),
+{_fill('f1', 'l1', 'top')},
+l2 AS (SELECT leaf.domain, lang, sum(leaf.cap) AS cap, CASE WHEN lang = 'en' THEN {ENGLISH_WEIGHT}::DOUBLE ELSE 1.0::DOUBLE END AS w, any_value(f1.b) AS b FROM leaf JOIN f1 USING (domain) GROUP BY leaf.domain, lang),
+{_fill('f2', 'l2', 'domain')},
+l3 AS (SELECT leaf.*, f2.b FROM leaf JOIN f2 ON f2.domain = leaf.domain AND f2.lang IS NOT DISTINCT FROM leaf.lang),
+{_fill('f3', 'l3', 'domain, lang')},
+plan AS (SELECT domain, lang, source, size, least(floor(b + 1e-6)::BIGINT, 4 * size) AS budget FROM f3),
+turns AS (SELECT domain, lang, source, unnest(range(0, 4)) AS epoch, size, budget FROM plan),
+rows_ AS (
+  SELECT doc_id, t.lang, t.source, t.domain, epoch, n, budget - epoch * size AS room, ('0x' || substr(md5(concat_ws(':', '17', epoch, coalesce(doc_id::VARCHAR, ''), t_)), 1, 15))::BIGINT AS h
+  FROM turns t JOIN (SELECT doc_id, lang, source, domain, n, t AS t_ FROM doc) x ON x.domain = t.domain AND x.lang IS NOT DISTINCT FROM t.lang AND x.source IS NOT DISTINCT FROM t.source WHERE budget > epoch * size),
+run AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source, epoch ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM rows_)
+SELECT doc_id, lang, source, domain, epoch::INTEGER AS epoch, n::BIGINT AS tokens, least(n, room - before)::BIGINT AS taken FROM run WHERE before < room
+"""
+
+ORACLE_SQL = {"op1_mix_sources": OP1, "op5_url_filter": OP5, "op6_secret_scan": OP6, "op7_warc_salvage": OP7, "op9_decontaminate": OP9, "op10_divergence": OP10}
