@@ -45,6 +45,8 @@ PARTS = (
 ).split()
 #: Spans by code point, end exclusive.
 Spans = "array<struct<start:int,end:int>>"
+#: Matches whose offsets are summed at a time.
+BLOCK = 256
 
 
 def matches(text: Column, pattern: str, group: int | None = None, min_group: int = 0) -> Column:
@@ -57,16 +59,24 @@ def matches(text: Column, pattern: str, group: int | None = None, min_group: int
         keep = F.transform(found, lambda x: F.lit(True))
     else:
         keep = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= min_group)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(Spans).alias("out"))
+    parts = F.transform(F.arrays_zip(sizes.alias("size"), keep.alias("keep")), lambda x, i: F.struct(F.get(gaps, i).alias("gap"), x["size"].alias("size"), x["keep"].alias("keep")))
+
+    # running sums, in blocks, as an array that grows is copied with each step
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+    lengths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, part: a + part["gap"] + part["size"]))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    offsets = F.aggregate(lengths, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def step(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + part["gap"]
-        span = F.struct(begin.alias("start"), (begin + part["size"]).alias("end"))
-        return F.struct((begin + part["size"]).alias("at"), F.when(part["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        first = acc["at"] + part["gap"]
+        span = F.struct(first.alias("start"), (first + part["size"]).alias("end"))
+        return F.struct((first + part["size"]).alias("at"), F.when(part["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def in_block(block: Column, offset: Column) -> Column:
+        return F.aggregate(block, F.struct(offset.alias("at"), F.array().cast(Spans).alias("out")), step, lambda acc: acc["out"])
 
-    parts = F.transform(F.arrays_zip(sizes.alias("size"), keep.alias("keep")), lambda x, i: F.struct(F.get(gaps, i).alias("gap"), x["size"].alias("size"), x["keep"].alias("keep")))
     none = F.array().cast(Spans)
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(F.size(found) > 0, F.flatten(F.zip_with(blocks, offsets, in_block))).otherwise(none)
 
 
 def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
