@@ -9,9 +9,8 @@ and the limit for words is ``max_word_distance + word_slack / sqrt(n_words)``,
 as sampling noise falls with the root of the length.
 
 One Arrow pass turns texts into narrow rows of counts, which go to the shared
-folder; references are a partial aggregate of those, and distances and verdicts
-are plain expressions with the references (one row for each known language) as
-literals.  Rows of other or null languages are compared with every reference
+folder; references (one for each known language) are a partial aggregate of
+those, and a second pass over the narrow rows computes distances by the batch.  Rows of other or null languages are compared with every reference
 and judged by the nearest.
 
 Defined cases: null and empty texts have no words and so fail the base rule; a
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,19 +113,46 @@ def count_texts(text: Column) -> Column:
     return F.arrow_udf(run, f"struct<{COUNTS.replace(' long', ':bigint').replace(' array', ':array')}>")(text)
 
 
-def js_distance(hist: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a histogram (counts) to a reference (shares)."""
-    total = F.aggregate(hist, F.lit(0).cast("long"), lambda a, x: a + x)
-    term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    ref = F.array(*[F.lit(float(x)) for x in reference])
-    parts = F.zip_with(hist, ref, lambda x, q: term(x / total, (x / total + q) / 2) + term(q, (x / total + q) / 2))
-    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2)))
+def js_distance(hist: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances of rows of counts to a reference (shares); NaN
+    for empty rows."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = hist / hist.sum(axis=1, keepdims=True)
+        m = (p + reference) / 2
+        left = np.where(p > 0, p * np.log2(p / m), 0.0).sum(axis=1)
+        right = np.where(reference > 0, reference * np.log2(reference / m), 0.0).sum(axis=1)
+        return np.where(hist.sum(axis=1) > 0, np.sqrt(np.maximum(0.0, (left + right) / 2)), np.nan)
 
 
-def _words_of(lang: str, common: Column, n_words: Column) -> Column:
+def words_of(lang: str, common: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """The language's common words, and all other words as the last class."""
-    own = F.array(*[F.get(common, F.lit(_AT[w.encode()])) for w in COMMON[lang]])
-    return F.concat(own, F.array(n_words - F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)))
+    own = common[:, [_AT[w.encode()] for w in COMMON[lang]]]
+    return np.column_stack((own, n_words - own.sum(axis=1)))
+
+
+def distances(lang: Column, counted: Column, refs: dict[str, tuple[list[float], list[float]]]) -> Column:
+    """(class_distance, word_distance) to the row's language or, where that is
+    not known, to the nearest; null without words or references."""
+    kind = pa.struct([("class_distance", pa.float64()), ("word_distance", pa.float64())])
+
+    def run(langs: pa.Array, rows: pa.Array) -> pa.Array:
+        n = len(rows)
+        own = np.array([g if g in refs else "" for g in langs.to_pylist()], dtype=object)
+        table = lambda c: rows.field(c).flatten().to_numpy().reshape(n, -1)
+        classes, common, n_words = table("classes"), table("common"), rows.field("n_words").to_numpy()
+        out = []
+        for which, hist in ((0, lambda g: classes), (1, lambda g: words_of(g, common, n_words))):
+            far = np.full(n, np.nan)
+            for g, ref in refs.items():
+                mine = own == g
+                other = own == ""
+                at = np.flatnonzero(mine | other)
+                d = js_distance(hist(g)[at], np.array(ref[which]))
+                far[at] = np.where(mine[at], d, np.fmin(far[at], d))
+            out.append(pa.array(far, pa.float64(), mask=np.isnan(far)))
+        return pa.StructArray.from_arrays(out, fields=list(kind))
+
+    return F.arrow_udf(run, "struct<class_distance:double,word_distance:double>").asNondeterministic()(lang, counted)
 
 
 def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -145,17 +172,9 @@ def judge(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance: f
     """doc_id, lang, the base counts, both distances, base_failed and kept."""
     rows = cut(docs.select("doc_id", "lang", count_texts(F.col("text")).alias("c")))
     refs = references(rows)
-    far_class = far_word = F.lit(None).cast("double")
-    any_class = [js_distance(F.col("c.classes"), c) for c, _ in refs.values()]
-    any_word = [js_distance(_words_of(g, F.col("c.common"), F.col("c.n_words")), w) for g, (_, w) in refs.items()]
-    if refs:
-        least = lambda cols: F.least(*cols) if len(cols) > 1 else cols[0]
-        far_class, far_word = least(any_class), least(any_word)
-        for i, g in enumerate(refs):
-            far_class = F.when(F.col("lang") == g, any_class[i]).otherwise(far_class)
-            far_word = F.when(F.col("lang") == g, any_word[i]).otherwise(far_word)
     n, repeated = F.col("c.n_words"), F.col("c.n_repeat_words")
-    out = rows.withColumns({"class_distance": far_class, "word_distance": far_word, "base_failed": (n < 10) | (100 * repeated > 20 * n)})
+    out = rows.withColumn("d", distances(F.col("lang"), F.col("c"), refs))
+    out = out.withColumns({"class_distance": F.col("d.class_distance"), "word_distance": F.col("d.word_distance"), "base_failed": (n < 10) | (100 * repeated > 20 * n)})
     chars = F.aggregate("c.classes", F.lit(0).cast("long"), lambda a, x: a + x)
     odd_class = (chars >= min_chars) & (F.col("class_distance") > max_class_distance)
     odd_word = (n >= min_words) & (F.col("word_distance") > max_word_distance + word_slack / F.sqrt(F.greatest(n, F.lit(1))))
