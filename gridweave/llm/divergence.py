@@ -5,8 +5,8 @@ language's common words, are compared with the language's reference by
 Jensen-Shannon distance (base 2, so 0 to 1).  References are sums over all
 documents of the language.  Short documents give noisy histograms, so each
 distance counts only from a minimum length on (``min_chars``, ``min_words``),
-and the limit for words is ``max_word_distance + word_slack / sqrt(n_words)``,
-as sampling noise falls with the root of the length.
+and limits have a slack over the root of the length (``class_slack / sqrt(chars)``
+and ``word_slack / sqrt(n_words)``), as sampling noise falls with it.
 
 One Arrow pass turns texts into narrow rows of counts, which go to the shared
 folder; references (one for each known language) are a partial aggregate of
@@ -168,7 +168,7 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
-def judge(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance: float = 0.22, word_slack: float = 1.0, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, max_class_distance: float = 0.3, class_slack: float = 2.0, max_word_distance: float = 0.22, word_slack: float = 1.0, min_chars: int = 200, min_words: int = 50) -> DataFrame:
     """doc_id, lang, the base counts, both distances, base_failed and kept."""
     rows = cut(docs.select("doc_id", "lang", count_texts(F.col("text")).alias("c")))
     refs = references(rows)
@@ -176,7 +176,7 @@ def judge(docs: DataFrame, max_class_distance: float = 0.3, max_word_distance: f
     out = rows.withColumn("d", distances(F.col("lang"), F.col("c"), refs))
     out = out.withColumns({"class_distance": F.col("d.class_distance"), "word_distance": F.col("d.word_distance"), "base_failed": (n < 10) | (100 * repeated > 20 * n)})
     chars = F.aggregate("c.classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    odd_class = (chars >= min_chars) & (F.col("class_distance") > max_class_distance)
+    odd_class = (chars >= min_chars) & (F.col("class_distance") > max_class_distance + class_slack / F.sqrt(F.greatest(chars, F.lit(1))))
     odd_word = (n >= min_words) & (F.col("word_distance") > max_word_distance + word_slack / F.sqrt(F.greatest(n, F.lit(1))))
     kept = ~(F.col("base_failed") | F.coalesce(odd_class, F.lit(False)) | F.coalesce(odd_word, F.lit(False)))
     return out.select("doc_id", "lang", "c.n_words", "c.word_chars", "c.n_symbols", "c.n_dup_lines", "c.n_repeat_words", "class_distance", "word_distance", "base_failed", kept.alias("kept"))
