@@ -1,7 +1,8 @@
 """Vector-lane algebra: arrays of eight 32-bit floats, lane 0 first.
 
 Masks are arrays of booleans.  Comparisons are ordered: false where either side
-is NaN.  A null array gives null.
+is NaN.  Operations are written out lane by lane, without lambdas, so that they
+compile into the stage; a null array counts as eight null lanes.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ def make(*high_first: Column) -> Column:
     return F.array(*[v.cast("float") for v in reversed(high_first)])
 
 
+def _each(f: Callable[..., Column], *registers: Column, kind: str = "float") -> Column:
+    return F.array(*[f(*[F.get(r, F.lit(k)) for r in registers]).cast(kind) for k in range(LANES)])
+
+
 def _zip(a: Column, b: Column, f: Callable[[Column, Column], Column], kind: str = "float") -> Column:
-    return F.zip_with(a, b, lambda x, y: f(x, y).cast(kind))
+    return _each(f, a, b, kind=kind)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -45,7 +50,7 @@ def div(a: Column, b: Column) -> Column:
 
 
 def sqrt(a: Column) -> Column:
-    return F.transform(a, lambda x: F.sqrt(x).cast("float"))
+    return _each(F.sqrt, a)
 
 
 def fmadd(a: Column, b: Column, c: Column) -> Column:
@@ -82,9 +87,12 @@ def bitwise_andnot(mask: Column, v: Column) -> Column:
 
 def signs(v: Column) -> Column:
     """Bit k is set where lane k is negative (-0.0 included; NaN counts as positive)."""
-    negative = lambda x: (x < 0) | ((x == 0) & F.startswith(x.cast("string"), F.lit("-")))
-    bits = F.transform(v, lambda x, k: F.when(negative(x), F.call_function("shiftleft", F.lit(1), k)).otherwise(0))
-    return F.aggregate(bits, F.lit(0), lambda a, b: a + b)
+    out = F.lit(0)
+    for k in range(LANES):
+        x = F.get(v, F.lit(k))
+        negative = (x < 0) | ((x == 0) & F.startswith(x.cast("string"), F.lit("-")))
+        out = out + F.when(negative, 1 << k).otherwise(0)
+    return out
 
 
 def store(v: Column) -> Column:
