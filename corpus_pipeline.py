@@ -20,8 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """Keep one document of each group of near copies: sets of 5-word shingles
+    with a Jaccard similarity of 0.8 or more."""
+    return simhash.one_of_each_similar(docs, words_per_shingle=5, jaccard=0.8)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +45,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontaminated),
     ("secret scans", without_secrets),
     ("mixing sources", mixed),
 ]
 
-#: The classifier's boosted tables, SimHash and the seeded order are not SQL.
+#: The classifier's boosted tables, shingle sets and the seeded order are not SQL.
 ORACLE_SQL = None
 
 

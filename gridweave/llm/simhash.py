@@ -33,6 +33,7 @@ rows come once for each; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
@@ -42,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from . import shingle_sets
 from .common import cut
 
 SEGMENTS, SEGMENT_BITS, MAX_DISTANCE = 4, 16, 2
@@ -135,11 +137,11 @@ def _bit(b: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), b)
 
 
-def _components_of(rows: DataFrame, first: Column, small_bucket: int) -> DataFrame:
+def _components_of(rows: DataFrame, first: Column, label_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(fp, low): the least ``first`` of each fingerprint's component; ``rows``
-    has fp and what ``first`` needs."""
+    has fp and what ``first`` needs, ``label_of`` labels a table of fps."""
     fps = cut(rows.groupBy("fp").agg(F.min(first).alias("first")))
-    label = components(links(fps, small_bucket))
+    label = label_of(fps)
     linked = cut(fps.join(label.withColumnRenamed("node", "fp"), "fp"))
     lows = cut(linked.groupBy("label").agg(F.min("first").alias("low")))
     found = linked.join(lows, "label").select("fp", "low")
@@ -149,7 +151,7 @@ def _components_of(rows: DataFrame, first: Column, small_bucket: int) -> DataFra
 def near_duplicates(docs: DataFrame, small_bucket: int = 32) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row."""
     rows = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
-    whole = _components_of(rows, F.col("doc_id"), small_bucket).withColumnRenamed("low", "component_id")
+    whole = _components_of(rows, F.col("doc_id"), lambda fps: components(links(fps, small_bucket))).withColumnRenamed("low", "component_id")
     # a hot fingerprint's rows are split by AQE: both sides are plain exchanges
     return rows.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -157,12 +159,33 @@ def near_duplicates(docs: DataFrame, small_bucket: int = 32) -> DataFrame:
 def one_of_each(docs: DataFrame, small_bucket: int = 32) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id
     (null last), then of the smallest text hash.  Columns stay the same."""
-    key = {"_id": F.col("doc_id"), "_t": F.coalesce(F.xxhash64("text"), F.lit(0))}
-    rows = cut(docs.select(key["_id"].alias("_id"), key["_t"].alias("_t"), fingerprints(F.col("text")).alias("fp")))
+    rows = cut(docs.select(*_row(), fingerprints(F.col("text")).alias("fp")))
+    return _one_of_each(docs, rows, lambda fps: components(links(fps, small_bucket)))
+
+
+def one_of_each_similar(docs: DataFrame, words_per_shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
+    """Like one_of_each, for components of texts whose sets of shingles have a
+    Jaccard similarity of ``jaccard`` or more (``shingle_sets``)."""
+    rows = cut(docs.select(*_row(), shingle_sets.nodes(F.col("text"), words_per_shingle).alias("node")).select("_id", "_t", "node.*"))
+    keyed = cut(rows.groupBy("fp").agg(F.min(F.struct("_id", "_t")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        at = keyed.join(wanted, "fp").select("fp", "at._id", "at._t")
+        own = docs.select(*_row(), "text")
+        return own.join(at, own["_id"].eqNullSafe(at["_id"]) & (own["_t"] == at["_t"])).select("fp", "text")
+
+    return _one_of_each(docs, rows, lambda _: shingle_sets.labels(keyed, texts, words_per_shingle, jaccard))
+
+
+def _row() -> tuple[Column, Column]:
+    return F.col("doc_id").alias("_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_t")
+
+
+def _one_of_each(docs: DataFrame, rows: DataFrame, label_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     who = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_t").alias("t"))
-    low = _components_of(rows, who, small_bucket)
+    low = _components_of(rows, who, label_of)
     judged = cut(rows.join(low, "fp").groupBy("_id", "_t").agg(F.count("*").alias("_n"), F.min(who == F.col("low")).alias("_stays")))
-    keyed = docs.withColumns(key)
+    keyed = docs.select("*", *_row())
     on = lambda t: keyed["_id"].eqNullSafe(t["_id"]) & (keyed["_t"] == t["_t"])
     gone = judged.where("not _stays or _n > 1")
     kept = keyed.join(gone, on(gone), "left_anti").select(*docs.columns)

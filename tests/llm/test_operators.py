@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.llm import decontaminate, divergence, html_main, mixing, quality_gam, queries, secrets, simhash, token_counts, url_filter, warc
+import corpus_pipeline
+from gridweave.llm import decontaminate, divergence, html_main, mixing, quality_gam, queries, secrets, shingle_sets, simhash, token_counts, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -246,6 +247,50 @@ def test_near_duplicates_odd_cases(spark):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_similar_texts_of_differing_fingerprints_come_once(spark):
+    rng = random.Random(4)
+    texts = []
+    for size, copies, edits in ((400, 40, 14), (120, 8, 3), (60, 4, 1), (30, 4, 1)):
+        base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(0, edits)):
+                w[rng.randrange(size)] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(w))
+    texts += [None, "", "one", "ONE", "two words"]
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    far = 0
+    for j, b in enumerate(shingles):
+        for i, a in enumerate(shingles[:j]):
+            if a == b or len(a & b) / len(a | b) >= 0.8:
+                far += ((simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])) % 2**64).bit_count() > 2
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    want = sorted({root(i) for i in range(len(texts))})
+    assert far > 50
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(r["doc_id"] or 0 for r in simhash.one_of_each_similar(odd(spark)).collect()) == [0, 1, 4, 5]
+    assert simhash.one_of_each_similar(docs(spark, [])).count() == 0
+
+
+def test_band_keys_meet_at_the_threshold():
+    rng = np.random.default_rng(1)
+    for n in (20, 200):
+        met = 0
+        for _ in range(200):  # 8 of 10 shared
+            h = rng.integers(0, 2**64, n, np.uint64)
+            met += bool(set(shingle_sets.band_keys(h[: n * 9 // 10])) & set(shingle_sets.band_keys(h[n // 10 :])))
+        assert met >= 198
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
