@@ -7,12 +7,14 @@ footers, forms and so on, by element, role or class name) weighs nothing.  The
 sums surge where the article starts and dive where it ends: where a sum exceeds
 ``surge``, a block opens at the first line of the unbroken run of weighing lines
 that leads there, and it closes before the next line of such an element or
-where the sum falls to zero.  Text between surge and dive points is kept, whole.
-Inside an <article> or <main> element link text weighs like any other.
+where the sum falls to zero.  Text between surge and dive points is kept, whole,
+and so are weighing lines that only lines of such elements part from kept text,
+however short (an advert inside the article may leave a short end behind it).
 
 When no window reaches the surge (very short articles), the threshold falls
-step by step, to one character at last; an <article> or <main> element, if the
-page has one with text, limits the search to it.
+step by step, to one character at last.  An <article> or <main> element, if the
+page has one with text, is the article: all its lines are kept but those of the
+elements above.
 
 Defined cases: null and empty html give an empty text; html without any tag is
 one line of text; unclosed elements end with the page; repeated rows are
@@ -139,13 +141,13 @@ def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
     """The article's lines, joined by line feeds."""
     all_lines = lines(page or "")
     if any(x.article and x.weight for x in all_lines):
-        all_lines = [x for x in all_lines if x.article]
+        return "\n".join(x.text for x in all_lines if x.article and not x.noise)
     weights = [x.weight for x in all_lines]
     n = len(weights)
     limit = surge
+    sums = [sum(weights[i : i + window]) for i in range(n)]
     while True:
-        kept: list[str] = []
-        sums = [sum(weights[i : i + window]) for i in range(n)]
+        kept = [False] * n
         i = floor = 0
         while i < n:
             if all_lines[i].noise or not weights[i] or sums[i] <= limit:
@@ -160,11 +162,19 @@ def main_text(page: str | None, window: int = 3, surge: int = 60) -> str:
             last = j
             while last > i and not weights[last - 1]:
                 last -= 1  # the dive point: trailing link lines are no article
-            kept += [x.text for x in all_lines[first:last]]
+            kept[first:last] = [True] * (last - first)
             i = floor = j
-        if kept or limit <= 0:
-            return "\n".join(kept)
+        if any(kept) or limit <= 0:
+            break
         limit = limit // 4
+    for order in (range(n), reversed(range(n))):  # noise inside the article cuts off short runs
+        near = False
+        for k in order:
+            if kept[k]:
+                near = True
+            elif not all_lines[k].noise:
+                kept[k] = near = near and weights[k] > 0
+    return "\n".join(x.text for x, stays in zip(all_lines, kept) if stays)
 
 
 def texts(page: Column, window: int = 3, surge: int = 60) -> Column:

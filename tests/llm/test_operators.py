@@ -109,6 +109,15 @@ def test_main_text_is_the_article(wrap):
     assert got.split("\n") == ["A title of it", "First & bold words, and some more of them to fill the line up well.", "Next line", "Short.", "an item", "The last paragraph ends here — at last."]
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div class=content>{}</div>", "<main>{}</main>"])
+def test_noise_inside_the_article_cuts_nothing_else(wrap):
+    long, ad = "word " * 99 + "end.", "<aside>Buy this now</aside>"
+    inner = f"<h1>Head</h1>{ad}{ad}<p>{long}</p>{ad}<p>Short end.</p><div class=ad>x</div>{ad}<p>Last.</p>"
+    assert html_main.main_text(PAGE.replace("{body}", wrap.format(inner))).split("\n") == ["Head", long, "Short end.", "Last."]
+    links = "<p><a href=x>only a link</a></p>"  # parts the run from the kept text, as before
+    assert html_main.main_text(f"<p>{long}</p>{links}{links}{links}{ad}<p>Far</p>") == long
+
+
 def test_html_odd_cases(spark):
     assert html_main.main_text(None) == html_main.main_text("") == html_main.main_text("<p> </p>") == ""
     assert html_main.main_text("plain") == "plain"
