@@ -16,8 +16,8 @@ dealt in order to automata of at most ``max_words`` words each, and every
 document meets all of them, one pass for each automaton.
 
 Defined cases: null or empty text has no words and no hits; items without words
-are ignored; equal items each count; null item ids are left out of ids and
-counts; repeated rows are judged one by one; no items means no hits; an empty
+are ignored; equal items each count; items with a null id hit words like
+any other but are left out of the items; repeated rows are judged one by one; no items means no hits; an empty
 table gives no rows.
 """
 
@@ -45,7 +45,7 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """Suffix automaton of several word sequences, with what windows end where."""
 
-    def __init__(self, items: Iterable[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: Iterable[tuple[int | None, list[bytes]]], window: int):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -174,7 +174,7 @@ def automata(items: DataFrame, window: int = 10, max_words: int = 200_000) -> li
     Items are read as a stream, one automaton's worth at a time.
     """
     out, part, size = [], [], 0
-    for row in items.select("item_id", "text").where("item_id is not null").toLocalIterator():
+    for row in items.select("item_id", "text").toLocalIterator():
         seq = words(row[1])
         if part and size + len(seq) > max_words:
             out.append(Automaton(part, window))
@@ -203,7 +203,7 @@ def _result(text: Column, machines: list[Automaton], prior: Column | None = None
         seq = words(text)
         for m in machines:
             found, ids = m.scan(seq)
-            spans, items = spans + found, items | ids
+            spans, items = spans + found, items | (ids - {None})
         spans = _merge(spans)
         return {"n_words": len(seq), "n_hit": sum(b - a for a, b in spans), "items": sorted(items), "spans": [dict(zip(names, s)) for s in spans]}
 
