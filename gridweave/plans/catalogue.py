@@ -158,6 +158,12 @@ def partition_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.sum_partitions(rows, F.col("o_orderkey") % 24 / 2, 12, F.col("o_custkey"))
 
 
+@query("SELECT part::INTEGER AS part, coalesce(sum(o_custkey), 0)::BIGINT AS total FROM range(36) t(part) LEFT JOIN orders ON o_orderkey % 24 = part GROUP BY part")
+def partition_sum_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logical partitions of all orders; the last third has no keys and gives 0."""
+    return reduce.sum_partitions(table(spark, sf_dir, "orders"), F.col("o_orderkey") % 24, 36, F.col("o_custkey"))
+
+
 @query("SELECT coalesce(sum(o_custkey), 0)::BIGINT AS total FROM orders")
 def physical_partition_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial sums by physical partition, then their sum."""

@@ -1,0 +1,11 @@
+from pyspark.sql import functions as F
+
+from gridweave.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_partitions_hold_all_orders(spark):
+    got = {r["part"]: r["total"] for r in catalogue.QUERIES["partition_sum_whole"](spark, SF).collect()}
+    assert sum(got.values()) == catalogue.table(spark, SF, "orders").agg(F.sum("o_custkey")).first()[0]
+    assert len(got) == 36 and all(got[k] == 0 for k in range(24, 36))
