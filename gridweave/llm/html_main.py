@@ -295,6 +295,7 @@ def main_text(page: str | None, window: int = 3, surge: float = 120, share: floa
         whole = {h for h, k, w in zip(home, kept, weights) if k and w}
         kept = [h >= 0 and h in whole and not a for h, a in zip(home, away)]
     else:
+        kept = [k and h < 0 for k, h in zip(kept, home)]
         top = tree.container(kept, weights)
         if top:
             first, last = tree.first[top], tree.last[top]
