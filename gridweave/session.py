@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,30 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; settings given as a_b_c name a.b.c.
-
-    On a local master, where all threads share the machine's folders, an unset
-    spark.checkpoint.dir becomes a temporary one; checkpoints go when their
-    tables are no longer referenced.
-    """
-    if (master or "").split("[")[0] == "local" and "spark_checkpoint_dir" not in conf:
-        conf["spark_checkpoint_dir"] = tempfile.mkdtemp(prefix="gridweave-")
+    Checkpoints go when their tables are no longer referenced."""
     builder = SparkSession.builder.appName("gridweave").config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for k, v in conf.items():
-        builder = builder.config("spark.checkpoint.dir" if k == "spark_checkpoint_dir" else k.replace("_", "."), v)
+        builder = builder.config(k.replace("_", "."), v)
     return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    There is no other choice: files in a machine's own temporary folder are
-    missing on the other machines.  Where it is unset, as in tests, set it (or
-    call setCheckpointDir) before the first operator that writes.
+    Only on a local master, where one process does all the work, is an unset one
+    replaced by a temporary folder.  On a cluster it must be set: files in a
+    machine's own folder are missing on the other machines.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path and re.fullmatch(r"local(\[.*\])?", context.master):
+        path = tempfile.mkdtemp(prefix="gridweave-")
     if not path:
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context.getCheckpointDir() is None:
