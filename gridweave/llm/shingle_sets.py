@@ -8,7 +8,8 @@ Candidates.  Each node has BANDS keys, each of ROWS minimum hashes over its set;
 two nodes of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS:
 0.9996 at 0.8, more above.  That is the only step that is not exact.  (64-bit
 SimHash distances cannot stand in for it: 0.8 lies at about 10 bits, up to 16,
-for which no index over 64 bits is selective.)
+for which no index over 64 bits is selective.  Fingerprints do prune candidates:
+``near`` is asked of both sides' before their sets are compared.)
 
 Checks.  A candidate pair is linked if the Jaccard similarity of the two whole
 sets, counted, is ``jaccard`` or more.  In each key all members are first held
@@ -63,18 +64,18 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), band) - 2**63 for band, part in enumerate(low.reshape(BANDS, ROWS))]
 
 
-def nodes(text: Column, words_per_shingle: int) -> Column:
-    """(fp, n, bands): the set's key, its size and its band keys."""
-    kind = pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+def nodes(text: Column, words_per_shingle: int, fingerprint: Callable[[np.ndarray], int]) -> Column:
+    """(fp, n, sim, bands): the set's key, size, fingerprint and band keys."""
+    kind = pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("sim", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             hashes = shingle_set(t.as_py(), words_per_shingle)
-            out.append({"fp": xxhash.xxh64_intdigest(hashes.tobytes(), 42) - 2**63, "n": len(hashes), "bands": band_keys(hashes)})
+            out.append({"fp": xxhash.xxh64_intdigest(hashes.tobytes(), 42) - 2**63, "n": len(hashes), "sim": fingerprint(hashes), "bands": band_keys(hashes)})
         return pa.array(out, kind)
 
-    return F.arrow_udf(run, "fp long, n int, bands array<long>")(text)
+    return F.arrow_udf(run, "fp long, n int, sim long, bands array<long>")(text)
 
 
 def sets(text: Column, words_per_shingle: int) -> Column:
@@ -92,27 +93,28 @@ def _checked(pairs: DataFrame, whole: DataFrame, jaccard: float) -> DataFrame:
     return cut(met.where(both / (F.size("sa") + F.size("sb") - both) >= jaccard).select("a", "b"))
 
 
-def labels(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], words_per_shingle: int, jaccard: float) -> DataFrame:
+def labels(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], words_per_shingle: int, jaccard: float) -> DataFrame:
     """(node, label): the component, over all candidate pairs of ``jaccard`` or
     more, of each node that has any.
 
-    ``keyed`` has fp, n and bands, a row for each node; ``texts`` gives fp and
-    text for a table of the fps that are wanted.
+    ``keyed`` has fp, n, sim and bands, a row for each node; ``texts`` gives fp
+    and text for a table of the fps that are wanted; ``near`` of two ``sim`` says
+    whether sets may be as similar.
     """
-    rows = keyed.select("fp", "n", F.explode("bands").alias("key"))
+    rows = keyed.select("fp", "n", "sim", F.explode("bands").alias("key"))
     # a table of its own, so that AQE can split what a hot key's join reads
-    many = cut(rows.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("fp", "key").alias("h"), "fp", "n")).alias("lead")).where("k > 1"))
-    shared = cut(rows.join(many, "key").select("key", "fp", "n", F.col("lead.fp").alias("lead"), F.col("lead.n").alias("m")))
+    many = cut(rows.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("fp", "key").alias("h"), "fp", "n", "sim")).alias("lead")).where("k > 1"))
+    shared = cut(rows.join(many, "key").select("key", "fp", "n", "sim", F.col("lead.fp").alias("fp2"), F.col("lead.n").alias("n2"), F.col("lead.sim").alias("sim2")))
+    may = (F.col("fp") != F.col("fp2")) & (F.least("n", "n2") / F.greatest("n", "n2") >= jaccard) & near(F.col("sim"), F.col("sim2"))
+    pair = (F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
     whole = cut(texts(shared.select("fp").distinct()).select("fp", sets(F.col("text"), words_per_shingle).alias("s")).dropDuplicates(["fp"]))
-    met = shared.where((F.col("fp") != F.col("lead")) & _sizes(F.col("n"), F.col("m"), jaccard))
-    found = components(_checked(met.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b")).distinct(), whole, jaccard))
-    label = F.coalesce("label", "fp").alias("label")
-    several = cut(shared.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", label))
+    found = components(_checked(shared.where(may).select(*pair).distinct(), whole, jaccard))
+    several = cut(shared.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "sim", F.coalesce("label", "fp").alias("label")))
     open_keys = cut(several.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
     left = cut(several.join(open_keys, "key"))
-    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "label")])
-    rest = left.join(other, "key").where((F.col("fp") < F.col("fp2")) & (F.col("label") != F.col("label2")) & _sizes(F.col("n"), F.col("n2"), jaccard))
-    more = _checked(rest.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct(), whole, jaccard)
+    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "sim", "label")])
+    rest = left.join(other, "key").where((F.col("fp") < F.col("fp2")) & (F.col("label") != F.col("label2")) & may)
+    more = _checked(rest.select(*pair).distinct(), whole, jaccard)
     if more.isEmpty():
         return found
     # links between whole components: those are the nodes of a second, smaller graph
@@ -122,8 +124,3 @@ def labels(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], words_per_
     joined = joined.select(F.col("node").alias("label"), F.col("label").alias("low"))
     every = found.unionByName(own.select(F.col("fp").alias("node"), "label")).distinct()
     return cut(every.join(joined, "label", "left").select("node", F.coalesce("low", "label").alias("label")))
-
-
-def _sizes(n: Column, m: Column, jaccard: float) -> Column:
-    """Can sets of these sizes be as similar?"""
-    return F.least(n, m) / F.greatest(n, m) >= jaccard

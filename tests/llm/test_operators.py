@@ -196,9 +196,9 @@ def test_fingerprints():
         assert simhash.fingerprint(t) % 2**64 == brute_fingerprint(t)
 
 
-@pytest.mark.parametrize("small_bucket", [2, 32])
-def test_links_connect_what_all_pairs_connect(spark, small_bucket):
-    rng = random.Random(small_bucket)
+@pytest.mark.parametrize("seed", [2, 32])
+def test_links_are_all_pairs_within_two_bits(spark, seed):
+    rng = random.Random(seed)
     fps = set()
     for _ in range(12):  # chains and clouds of close fingerprints
         f = rng.getrandbits(64)
@@ -211,20 +211,18 @@ def test_links_connect_what_all_pairs_connect(spark, small_bucket):
             fps.add(g)
     signed = sorted(f - (f >> 63 << 64) for f in fps)
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    links = simhash.links(df, small_bucket).collect()
-    assert all(((a ^ b) % 2**64).bit_count() <= 2 for a, b in links)
-    up = {f: f for f in signed}
-    want = brute_components(signed, [f % 2**64 for f in signed])
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for a, b in links:
-        a, b = root(a), root(b)
-        up[max(a, b)] = min(a, b)
-    assert {f: root(f) for f in signed} == want
+    near = lambda n: {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= n}
+    links = {tuple(r) for r in simhash.links(df).collect()}
+    assert links == near(2) and len(links) > 200
+    passed = {tuple(r) for r in simhash.candidates(df).collect()}
+    assert links <= passed and len(passed) < len(near(64)) / 10
+    ring = [simhash.pigeonring(F.col("a"), F.col("b"), n, m) for n, m in ((2, 4), (10, 4), (20, 8))]
+    met = df.select(F.col("fp").alias("a")).join(df.select(F.col("fp").alias("b")), F.col("a") < F.col("b")).select("a", "b", *ring)
+    rows = met.collect()
+    for k, n in ((2, 2), (3, 10), (4, 20)):
+        assert {(r[0], r[1]) for r in rows if r[k]} >= near(n)
+    assert {(r[0], r[1]) for r in rows if r[2]} == passed
+    assert [*simhash.funnel(df).first()][1:] == [len(passed), len(links)]
 
 
 def test_near_duplicates_equal_brute_force(spark):
