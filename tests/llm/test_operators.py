@@ -48,6 +48,40 @@ def brute_mix(rows, plan, seed_order):
     return sorted(out)
 
 
+def brute_fill(budget, nodes):
+    """Share over (weight, capacity) siblings, from the one that is full first."""
+    got = [0.0] * len(nodes)
+    left = min(budget, sum(c for w, c in nodes if w > 0))
+    weight = sum(w for w, c in nodes if w > 0)
+    for i in sorted((i for i, (w, c) in enumerate(nodes) if w > 0), key=lambda i: nodes[i][1] / nodes[i][0]):
+        w, c = nodes[i]
+        got[i] = min(c, left * w / weight) if weight > 0 else 0.0
+        left, weight = left - got[i], weight - w
+    return got
+
+
+def brute_budgets(sizes, weights, total, max_epochs):
+    of = lambda p: weights.by_path.get(p, weights.default_weight)
+    kids = lambda p: sorted({k[: len(p) + 1] for k in sizes if k[: len(p)] == p}, key=repr)
+    room = lambda p: 0 if of(p) == 0 else sizes[p] * max_epochs if len(p) == 3 else sum(map(room, kids(p)))
+    out = {}
+
+    def go(path, budget):
+        if len(path) == 3:
+            out[path] = min(int(budget + 1e-6), sizes[path] * max_epochs)
+            return
+        for kid, part in zip(kids(path), brute_fill(budget, [(of(k), room(k)) for k in kids(path)])):
+            go(kid, part)
+
+    go((), total)
+    return out
+
+
+def budgets(spark, sizes, weights, total, max_epochs):
+    leaves = spark.createDataFrame([(*k, n) for k, n in sizes.items()], "d string, l string, s string, size long")
+    return {tuple(r[:3]): r["budget"] for r in mixing.leaf_budgets(leaves, weights, total, max_epochs).collect()}
+
+
 def test_mix_equals_a_full_sort(spark):
     rng = random.Random(3)
     texts = [" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 12))) for _ in range(80)]
@@ -63,22 +97,34 @@ def test_mix_equals_a_full_sort(spark):
             n = len(t.split())
             sizes[leaf] = sizes.get(leaf, 0) + n
             rows.append((leaf, k, n))
-        plan = mixing.budgets(sizes, weights, sum(sizes.values()) * share, 3)
+        plan = brute_budgets(sizes, weights, sum(sizes.values()) * share, 3)
         order = {(e, r["doc_id"]): r["h"] for e in range(3) for r in df.select("doc_id", mixing.order_key(5, F.lit(e), F.md5("text")).alias("h")).collect()}
         assert sorted((r["doc_id"], r["epoch"], r["taken"]) for r in got.collect()) == brute_mix(rows, plan, order)
 
 
-def test_budgets_redistribute_to_siblings_first():
+def test_budgets_redistribute_to_siblings_first(spark):
     w = mixing.Weights({})
     sizes = {("a", "en", "x"): 10, ("a", "en", "y"): 1000, ("a", "de", "z"): 5, ("b", "en", "u"): 1000}
-    got = mixing.budgets(sizes, w, 400, 1)
     # domain a has 200: de can give 5, en takes 195; there x gives 10 and y the rest
-    assert got == {("a", "de", "z"): 5, ("a", "en", "x"): 10, ("a", "en", "y"): 185, ("b", "en", "u"): 200}
+    assert budgets(spark, sizes, w, 400, 1) == {("a", "de", "z"): 5, ("a", "en", "x"): 10, ("a", "en", "y"): 185, ("b", "en", "u"): 200}
     small = {("a", "en", "x"): 10, ("b", "en", "u"): 1000}
-    assert mixing.budgets(small, w, 400, 2) == {("a", "en", "x"): 20, ("b", "en", "u"): 380}
-    assert mixing.budgets(small, mixing.Weights({("b",): 0.0}), 400, 2) == {("a", "en", "x"): 20, ("b", "en", "u"): 0}
+    assert budgets(spark, small, w, 400, 2) == {("a", "en", "x"): 20, ("b", "en", "u"): 380}
+    assert budgets(spark, small, mixing.Weights({("b",): 0.0}), 400, 2) == {("a", "en", "x"): 20, ("b", "en", "u"): 0}
     with pytest.raises(ValueError):
-        mixing.budgets(small, mixing.Weights({("b",): -1.0}), 400, 2)
+        mixing.Weights({("b",): -1.0})
+
+
+def test_budgets_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    names = [None, "p", "q", "r", "t"]
+    for k in range(4):
+        monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 50_000 if k % 2 else 3)
+        sizes = {(rng.choice("ab"), rng.choice(names), rng.choice(names) and f"s{rng.randrange(40)}"): rng.choice([1, 7, 7, 50, rng.randint(1, 9000)]) for _ in range(120)}
+        paths = {p[:n] for p in sizes for n in (1, 2, 3)}
+        weights = mixing.Weights({p: rng.choice([0.0, 0.5, 2.0, 3.0]) for p in paths if rng.random() < 0.4})
+        for share in (0.05, 0.7, 9.0):
+            total = sum(sizes.values()) * share
+            assert budgets(spark, sizes, weights, total, 3) == brute_budgets(sizes, weights, total, 3)
 
 
 def test_mix_odd_cases(spark):
@@ -86,6 +132,10 @@ def test_mix_odd_cases(spark):
     assert sum(r["taken"] for r in got) in range(59_990, 60_004)
     tied = mixing.mix(docs(spark, ["a b"]).union(docs(spark, ["a b"])).union(docs(spark, ["a b"])), F.lit("d"), total_tokens=3, max_epochs=1)
     assert sorted(r["taken"] for r in tied.collect()) == [1, 2]
+    clash = docs(spark, ["a b c", "d e", "f"]).withColumns({c: F.lit("own") for c in ("full", "_end", "left", "k", "d_", "l", "s", "h", "turn", "row", "n", "b", "EPOCH", "a.b")})
+    got = mixing.mix(clash, F.lit("x"), total_tokens=5, max_epochs=1)
+    assert sum(r["taken"] for r in got.collect()) == 5 and got.where("full = 'own' and row = 'own' and `a.b` = 'own'").count() == got.count()
+    assert [c for c in got.columns if c.lower() == "epoch"] == ["epoch"]
     none = mixing.mix(docs(spark, [None, ""]), F.lit("d"))
     assert none.count() == 0 and none.columns == ["doc_id", "text", "lang", "source", "n_chars", "domain", "epoch", "tokens", "taken"]
     assert mixing.mix(spark.createDataFrame([], DOCS), F.lit("d")).count() == 0
