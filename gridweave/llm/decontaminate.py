@@ -11,31 +11,47 @@ automaton to a reportable length and are skipped by arithmetic on word ids.
 ``strip`` removes hit spans of at least ``max_span`` words and drops documents
 whose hit share exceeds ``max_coverage``.
 
-The automaton is broadcast with each task, so its size is bounded: items are
-dealt in order to automata of at most ``max_words`` words each, and every
-document meets all of them, one pass for each automaton.
+Automata hold about ``max_words`` item words each (an item alone may be longer):
+items are dealt to them by hash, executors build them, and they are kept as a
+table in the shared folder.  The driver passes on one at a time, and a worker
+holds one.  With one automaton, documents are scanned in a single pass without
+a shuffle; with more, there is a pass for each, of which only the rows of hit
+documents are kept, merged, and joined to the documents at the end.
 
 Defined cases: null or empty text has no words and no hits; items without words
-are ignored; equal items each count; items with a null id hit words like
-any other but are left out of the items; repeated rows are judged one by one; no items means no hits; an empty
-table gives no rows.
+are ignored; equal items each count; items with a null id hit words like any
+other but are left out of the items; repeated rows are judged one by one; very
+long texts are scanned whole, in one pass over their words; other columns are
+kept, whatever their names (``matches`` replaces one that has the name of its
+result); no items means no hits; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, few_rows_a_batch, fresh, small
+
 #: Bytes that separate words (all ASCII but 0-9, A-Z, a-z) become spaces; A-Z become a-z.
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in _KEEP else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-RESULT = "n_words long, n_hit long, items array<bigint>, spans array<struct<start:int,end:int>>"
+SPANS = "array<struct<start:int,end:int>>"
+RESULT = f"struct<n_words:bigint,n_hit:bigint,items:array<bigint>,spans:{SPANS}>"
+KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+#: The words as a Java pattern, for counting them alone.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Hit documents' rows are under a kilobyte as a rule, so a broadcast is under 10 MB.
+BROADCAST_HITS = 10_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -168,21 +184,34 @@ def _zeros(n: int) -> Iterator[int]:
     return repeat(0, n)
 
 
-def automata(items: DataFrame, window: int = 10, max_words: int = 200_000) -> list[Automaton]:
-    """Automata of at most ``max_words`` words each (an item alone may be longer).
-
-    Items are read as a stream, one automaton's worth at a time.
-    """
-    out, part, size = [], [], 0
-    for row in items.select("item_id", "text").toLocalIterator():
-        seq = words(row[1])
-        if part and size + len(seq) > max_words:
-            out.append(Automaton(part, window))
-            part, size = [], 0
-        part.append((row[0], seq))
-        size += len(seq)
-    out.append(Automaton(part, window))
-    return out
+def automata(items: DataFrame, window: int = 10, max_words: int = 200_000) -> DataFrame:
+    """(shard, machine): pickled automata of about ``max_words`` words each."""
+    rows = items.select("item_id", "text").where(F.regexp_count("text", F.lit(WORDS)) > 0).distinct()
+    total = rows.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORDS))), F.lit(0))).first()[0]
+    shards = max(1, -(-total // max_words))
+
+    def build(part: pa.Table) -> pa.Table:
+        machine = Automaton([(i.as_py(), words(t.as_py())) for i, t in zip(part["item_id"], part["text"])], window)
+        return pa.table({"shard": pa.array([part["shard"][0].as_py()], pa.int32()), "machine": pa.array([pickle.dumps(machine)], pa.binary())})
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
+    return cut(dealt.groupBy("shard").applyInArrow(build, "shard int, machine binary"))
+
+
+class _Machine:
+    """An automaton that a worker loads once."""
+
+    loaded: tuple[str, Automaton] | None = None
+
+    def __init__(self, shared: Broadcast):
+        self.shared, self.name = shared, uuid.uuid4().hex
+
+    def get(self) -> Automaton:
+        now = _Machine.loaded
+        if now is None or now[0] != self.name:
+            _Machine.loaded = None  # the one before goes first
+            _Machine.loaded = now = (self.name, pickle.loads(self.shared.value))
+        return now[1]
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -195,37 +224,67 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _result(text: Column, machines: list[Automaton], prior: Column | None = None) -> Column:
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-    names = ("start", "end")
-
-    def row(text: str | None, spans: list, items: set) -> dict:
-        seq = words(text)
-        for m in machines:
-            found, ids = m.scan(seq)
-            spans, items = spans + found, items | (ids - {None})
-        spans = _merge(spans)
-        return {"n_words": len(seq), "n_hit": sum(b - a for a, b in spans), "items": sorted(items), "spans": [dict(zip(names, s)) for s in spans]}
+def _row(seq: list[bytes], machine: Automaton) -> dict:
+    spans, items = machine.scan(seq)
+    spans = _merge(spans)
+    return {"n_words": len(seq), "n_hit": sum(b - a for a, b in spans), "items": sorted(items - {None}), "spans": [{"start": a, "end": b} for a, b in spans]}
 
-    def first(texts: pa.Array) -> pa.Array:
-        return pa.array([row(t.as_py(), [], set()) for t in texts], kind)
 
-    def more(texts: pa.Array, before: pa.Array) -> pa.Array:
-        old = [(x["spans"].as_py(), x["items"].as_py()) for x in before]
-        return pa.array([row(t.as_py(), [(s["start"], s["end"]) for s in spans], set(items)) for t, (spans, items) in zip(texts, old)], kind)
+def _scan(machine: _Machine) -> Callable[[Column], Column]:
+    def run(texts: pa.Array) -> pa.Array:
+        m = machine.get()
+        return pa.array([_row(words(t.as_py()), m) for t in texts], KIND)
 
     # not deterministic to the optimiser, so that no filter or projection runs the scan anew
-    udf = F.arrow_udf(first if prior is None else more, f"struct<{RESULT.replace(' long', ':bigint').replace(' array', ':array')}>").asNondeterministic()
-    return udf(text) if prior is None else udf(text, prior)
+    return F.arrow_udf(run, RESULT).asNondeterministic()
+
+
+def _machines(docs: DataFrame, items: DataFrame, window: int, max_words: int) -> Iterator[_Machine]:
+    """One after the other; empty automata for no items."""
+    context = docs.sparkSession.sparkContext
+    table = automata(items, window, max_words)
+    for shard in sorted(r[0] for r in table.select("shard").collect()) or [None]:
+        data = pickle.dumps(Automaton([], window)) if shard is None else bytes(table.where(F.col("shard") == shard).first()["machine"])
+        yield _Machine(context.broadcast(data))
+
+
+def _several(docs: DataFrame, machines: Iterator[_Machine], column: str) -> DataFrame:
+    """``matches`` by a pass for each automaton."""
+    hits = []
+    row = {"i": F.col("doc_id"), "t": F.xxhash64("text")}
+    for m in machines:
+        found = few_rows_a_batch(docs).select(*[v.alias(k) for k, v in row.items()], _scan(m)("text").alias("leak")).where("leak.n_hit > 0")
+        hits.append(cut(found.dropDuplicates(["i", "t"])))
+        m.shared.unpersist()
+    every = hits[0]
+    for h in hits[1:]:
+        every = every.unionByName(h)
+    every = every.groupBy("i", "t").agg(F.flatten(F.collect_list("leak.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("leak.items")))).alias("items"))
+
+    def merge(spans: pa.Array) -> pa.Array:
+        return pa.array([[{"start": a, "end": b} for a, b in _merge([(x["start"], x["end"]) for x in s.as_py()])] for s in spans], KIND["spans"].type)
+
+    every = small(cut(every.withColumn("spans", F.arrow_udf(merge, SPANS)("spans"))), BROADCAST_HITS)
+    names = fresh([*docs.columns, column], "i", "t", "hit_i", "hit_t", "hit_spans", "hit_items")
+    i, t, hi, ht, spans, found = names
+    keyed = docs.withColumns({i: row["i"], t: row["t"]})
+    every = every.select(F.col("i").alias(hi), F.col("t").alias(ht), F.col("spans").alias(spans), F.col("items").alias(found))
+    out = keyed.join(every, F.col(i).eqNullSafe(F.col(hi)) & (F.col(t) == F.col(ht)), "left")
+    n_hit = F.aggregate(F.coalesce(spans, F.array().cast(SPANS)), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    leak = F.struct(
+        F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"), n_hit.alias("n_hit"),
+        F.coalesce(found, F.array().cast("array<bigint>")).alias("items"), F.coalesce(spans, F.array().cast(SPANS)).alias("spans"))
+    return out.withColumn(column, leak).drop(*names)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, max_words: int = 200_000, column: str = "leak") -> DataFrame:
     """``docs`` plus a struct column: n_words, n_hit, items (sorted ids), spans
     (word numbers, end exclusive, merged)."""
-    out = docs
-    for i, m in enumerate(automata(items, window, max_words)):
-        out = out.withColumn(column, _result(F.col("text"), [m], F.col(column) if i else None))
-    return out
+    machines = _machines(docs, items, window, max_words)
+    first, second = next(machines), next(machines, None)
+    if second is None:
+        return few_rows_a_batch(docs).withColumn(column, _scan(first)(F.col("text")))
+    return _several(docs, (m for part in ((first, second), machines) for m in part), column)
 
 
 def digest(items: Column) -> Column:
@@ -251,14 +310,34 @@ def strip(docs: DataFrame, items: DataFrame, window: int = 10, max_span: int = 1
     ``max_coverage`` is hit are dropped.  Columns stay the same; n_chars, if
     there, is that of the new text.  Spans of short items (under ``max_span``
     words) stay."""
-    found = matches(docs, items, window, max_words, "_leak")
-    found = found.where(F.coalesce(F.col("_leak.n_hit") <= max_coverage * F.col("_leak.n_words"), F.lit(True)))
-
-    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([_cut(t.as_py(), s.as_py(), max_span) for t, s in zip(texts, spans)], pa.string())
-
-    clean = F.when(F.col("_leak.n_hit") > 0, F.arrow_udf(run, "string")("text", "_leak.spans")).otherwise(F.col("text"))
-    out = found.withColumn("text", clean)
+    machines = _machines(docs, items, window, max_words)
+    first, second = next(machines), next(machines, None)
+    (leak,) = fresh(docs.columns, "leak")
+    kind = pa.struct([("text", pa.string()), ("n_hit", pa.int64()), ("n_words", pa.int64())])
+    clean = "struct<text:string,n_hit:bigint,n_words:bigint>"
+    few_rows_a_batch(docs)
+    if second is None:  # scan and cut in one Python pass
+
+        def run(texts: pa.Array) -> pa.Array:
+            m = first.get()
+            out = []
+            for t in texts:
+                text = t.as_py()
+                r = _row(words(text), m)
+                out.append({"text": _cut(text, r["spans"], max_span), "n_hit": r["n_hit"], "n_words": r["n_words"]})
+            return pa.array(out, kind)
+
+        found = docs.withColumn(leak, F.arrow_udf(run, clean).asNondeterministic()("text"))
+    else:
+
+        def run_cut(texts: pa.Array, leaks: pa.Array) -> pa.Array:
+            rows = zip(texts, leaks.to_pylist())
+            return pa.array([{"text": _cut(t.as_py(), r["spans"], max_span), "n_hit": r["n_hit"], "n_words": r["n_words"]} for t, r in rows], kind)
+
+        met = _several(docs, (m for part in ((first, second), machines) for m in part), leak)
+        found = met.withColumn(leak, F.arrow_udf(run_cut, clean).asNondeterministic()("text", leak))
+    found = found.where(F.coalesce(F.col(f"{leak}.n_hit") <= max_coverage * F.col(f"{leak}.n_words"), F.lit(True)))
+    new = {"text": F.col(f"{leak}.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_leak.n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col(f"{leak}.n_hit") > 0, F.length(f"{leak}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])

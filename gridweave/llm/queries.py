@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, divergence, html_main, mixing, quality_gam, secrets, simhash, sql, token_counts, url_filter, warc
-from .common import shared_dir, table
+from .common import cut, remove, shared_dir, table
 
 #: op1: domains are groups of sources; weights by tree path.
 DOMAINS = sql.DOMAINS
@@ -60,7 +60,9 @@ def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     rows = warc.read_warc(spark, path, payloads=False).where("kind = 'record'")
-    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = cut(rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(spark, path)
+    return rows
 
 
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

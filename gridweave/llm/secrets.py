@@ -16,8 +16,10 @@ whole-number ratios goes into the plan as a literal.
 Defined cases: null and empty texts have no matches; a match of several kinds
 counts for each base kind, but runs that touch a base span are not added again;
 texts with line breaks, and characters outside of the BMP, count by code point;
-repeated rows are scanned one by one; an empty table gives no rows; with no
-samples of one label, that model is uniform.
+very long texts are scanned whole, in time linear in text and matches (but for
+one step a block of 256 matches); repeated rows are scanned one by one; other
+columns are kept, whatever their names (``scan`` replaces those it adds); an
+empty table gives no rows; with no samples of one label, that model is uniform.
 """
 
 from __future__ import annotations
@@ -45,38 +47,51 @@ PARTS = (
 ).split()
 #: Spans by code point, end exclusive.
 Spans = "array<struct<start:int,end:int>>"
+Found = "array<struct<start:int,end:int,text:string>>"
 #: Matches whose offsets are summed at a time.
 BLOCK = 256
+#: Characters to a piece of a text that is cut up.
+PIECE = 4096
 
 
-def matches(text: Column, pattern: str, group: int | None = None, min_group: int = 0) -> Column:
-    """start and end (code points, end exclusive) of the leftmost
-    non-overlapping matches; those whose ``group`` is too short are dropped."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(found, lambda x: F.length(x))
-    if group is None:
-        keep = F.transform(found, lambda x: F.lit(True))
-    else:
-        keep = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= min_group)
-    parts = F.transform(F.arrays_zip(sizes.alias("size"), keep.alias("keep")), lambda x, i: F.struct(F.get(gaps, i).alias("gap"), x["size"].alias("size"), x["keep"].alias("keep")))
-
-    # running sums, in blocks, as an array that grows is copied with each step
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
-    lengths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, part: a + part["gap"] + part["size"]))
+def _parts(xs: Column) -> Column:
+    """An array in slices of BLOCK.  ``xs`` must be a column, not an expression:
+    what a lambda refers to is evaluated for each element."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(xs) - 1) / BLOCK), F.lit(0)).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def with_matches(df: DataFrame, name: str, pattern: str, group: int = 0, min_group: int = 0) -> DataFrame:
+    """``df`` (with ``text``, not null) plus ``name``: start, end (code points,
+    end exclusive) and text of the leftmost non-overlapping matches; those whose
+    ``group`` is too short are dropped.
+
+    Offsets are sums over the pieces between matches and the matches, in blocks,
+    as an array that grows is copied with each step.
+    """
+    pieces = F.transform(F.split("text", pattern, -1), lambda x: F.length(x))
+    found = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(c) for g, c in ((0, "found"), (group, "value"))]
+    some = F.arrays_zip(pieces.alias("gap"), *found)  # one piece more than matches
+    df = df.withColumn("z", F.when(F.rlike("text", F.lit(pattern)), some).otherwise(F.array().cast("array<struct<gap:int,found:string,value:string>>")))
+    df = df.withColumn("blocks", _parts(F.col("z"))).drop("z")
+    size = lambda x: x["gap"] + F.coalesce(F.length(x["found"]), F.lit(0))
+    lengths = F.transform("blocks", lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + size(x)))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     offsets = F.aggregate(lengths, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    def step(acc: Column, part: Column) -> Column:
-        first = acc["at"] + part["gap"]
-        span = F.struct(first.alias("start"), (first + part["size"]).alias("end"))
-        return F.struct((first + part["size"]).alias("at"), F.when(part["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def step(acc: Column, x: Column) -> Column:
+        first, end = acc["at"] + x["gap"], acc["at"] + size(x)
+        span = F.struct(first.alias("start"), end.alias("end"), x["found"].alias("text"))
+        keep = x["found"].isNotNull() & (F.length(x["value"]) >= min_group)
+        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     def in_block(block: Column, offset: Column) -> Column:
-        return F.aggregate(block, F.struct(offset.alias("at"), F.array().cast(Spans).alias("out")), step, lambda acc: acc["out"])
+        return F.aggregate(block, F.struct(offset.alias("at"), F.array().cast(Found).alias("out")), step, lambda acc: acc["out"])
+
+    return df.withColumn(name, F.flatten(F.zip_with("blocks", offsets, in_block))).drop("blocks")
 
-    none = F.array().cast(Spans)
-    return F.when(F.size(found) > 0, F.flatten(F.zip_with(blocks, offsets, in_block))).otherwise(none)
+
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
@@ -121,17 +136,29 @@ def ratio(run: Column, table: list[int]) -> Column:
     return F.floor(F.aggregate(codes, start, step, lambda acc: acc["sum"]) / F.greatest(F.length(run) - 1, F.lit(1)))
 
 
+def _found(docs: DataFrame, samples: DataFrame | None, min_length: int, threshold: int) -> DataFrame:
+    """row (the input's columns), text (not null) and KINDS."""
+    table = train(labelled_samples(docs.sparkSession) if samples is None else samples)
+    # the input's own columns travel as one, so that no name meets one of these
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    for kind, pattern, group, least in (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 0), ("hex", HEX, 0, 0)):
+        out = with_matches(out, kind, pattern, group, least).withColumn(kind, _bare(F.col(kind)))
+    out = with_matches(out, "runs", f"[A-Za-z0-9+/_=-]{{{min_length},}}")
+    likely = F.filter("runs", lambda s: ratio(s["text"], table) >= threshold)
+    out = out.withColumn("likely", likely).withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    out = out.withColumn("near", F.transform(_parts(F.col("base")), lambda xs: F.struct(F.array_min(xs["start"]).alias("start"), F.array_max(xs["end"]).alias("end"), xs.alias("spans"))))
+    meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    free = F.filter("likely", lambda s: ~F.exists("near", lambda block: F.coalesce(meets(s, block), F.lit(False)) & F.exists(block["spans"], lambda b: meets(s, b))))
+    return out.withColumn("markov", F.when(F.size("base") > 0, _bare(free)).otherwise(_bare(F.col("likely")))).select("row", "text", *KINDS)
+
+
 def scan(docs: DataFrame, samples: DataFrame | None = None, min_length: int = 20, threshold: int = 500) -> DataFrame:
     """``docs`` plus the arrays assign, access, hex and markov of (start, end).
 
     Columns of these names in the input are replaced.
     """
-    table = train(labelled_samples(docs.sparkSession) if samples is None else samples)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumns({"assign": matches(text, ASSIGN, 2, 6), "access": matches(text, ACCESS), "hex": matches(text, HEX)})
-    runs = F.filter(matches(text, f"[A-Za-z0-9+/_=-]{{{min_length},}}"), lambda s: ~F.exists(F.concat("assign", "access", "hex"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    likely = F.filter(runs, lambda s: ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), table) >= threshold)
-    return out.withColumn("markov", likely)
+    keep = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in KINDS]
+    return _found(docs, samples, min_length, threshold).select(*keep, *KINDS)
 
 
 def span_list(kinds: tuple[str, ...]) -> Column:
@@ -143,24 +170,38 @@ def span_list(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(F.concat(*map(named, range(len(kinds)), kinds))), lambda s: s["name"]), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", samples: DataFrame | None = None, min_length: int = 20, threshold: int = 500) -> DataFrame:
     """``docs`` with every span, overlapping ones merged, replaced by ``mark``.
 
-    Columns stay the same; n_chars, if there, follows the new text."""
-    own = docs.columns
-    taken = {k: f"_own_{k}" for k in KINDS if k in own}
-    found = scan(docs.withColumnsRenamed(taken), **options)
-    spans = F.array_sort(F.concat(*KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), piece.alias("out"))
-
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    hit = F.size(F.concat(*KINDS)) > 0
-    out = found.withColumn("_new", F.when(hit, clean).otherwise(F.col("text")))
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(hit, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    out = out.withColumn("text", F.col("_new")).drop("_new", *KINDS).withColumnsRenamed({v: k for k, v in taken.items()})
-    return out.select(*own)
+    Columns stay the same; n_chars, if there, follows the new text.  Texts are
+    cut from pieces of PIECE characters, so that time is linear in a text and its
+    spans."""
+    found = _found(docs, samples, min_length, threshold)
+    found = found.withColumn("spans", F.array_sort(F.concat(*KINDS))).drop(*KINDS)
+    hit = F.size("spans") > 0
+    found = found.withColumn("pieces", F.when(hit, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn("blocks", _parts(F.col("spans")))
+    found = found.withColumn("highs", F.transform("blocks", lambda xs: F.array_max(xs["end"])))
+    zero = F.lit(0)
+    before = lambda xs, i: F.coalesce(F.array_max(F.slice(xs, F.lit(1), i)), zero)
+    # each span with the end of all spans before it
+    in_block = lambda xs, i: F.transform(xs, lambda s, j: F.struct(F.greatest(before(F.col("highs"), i), before(xs["end"], j)).alias("at"), s["start"].alias("start")))
+    found = found.withColumn("cuts", F.filter(F.flatten(F.transform("blocks", in_block)), lambda s: s["start"] >= s["at"]))
+    piece = lambda k: F.coalesce(F.get(F.col("pieces"), k), F.lit(""))
+
+    def between(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        far = F.concat(F.substring(piece(first), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(F.col("pieces"), first + 2, F.greatest(last - first - 1, zero)), ""), F.substring(piece(last), F.lit(1), b % PIECE))
+        return F.when(first == last, F.substring(piece(first), a % PIECE + 1, b - a)).otherwise(far)
+
+    clean = F.concat(F.array_join(F.transform("cuts", lambda s: F.concat(between(s["at"], s["start"]), F.lit(mark))), ""), between(F.array_max("highs"), F.length("text")))
+    found = found.withColumn("new", F.when(hit, clean)).select("row", "new")
+    out = []
+    for c in docs.columns:
+        own = F.col(f"row.`{c}`")
+        if c == "text":
+            own = F.coalesce("new", own)
+        elif c == "n_chars":
+            own = F.coalesce(F.length("new").cast(docs.schema[c].dataType), own)
+        out.append(own.alias(c))
+    return found.select(*out)

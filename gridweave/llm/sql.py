@@ -64,7 +64,12 @@ def _strings(values) -> str:
     return "[" + ", ".join(map(_text, values)) + "]"
 
 
-_K = len(secrets.ALPHABET)
+# written anew, so that a slip in the operator shows
+_ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+_ACCESS, _HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
+_ALPHABET = "".join(chr(c) for a, z in ("AZ", "az", "09") for c in range(ord(a), ord(z) + 1)) + "+/_=-"
+_KINDS = ("assign", "access", "hex", "markov")
+_K = 67
 _SHA = "sha256(concat_ws(':', {k}, id))"
 _PICK = f"parts[('0x' || substr({_SHA}, 1, 8))::BIGINT % {len(secrets.PARTS)} + 1]"
 _CAPITAL = "upper(left({p}, 1)) || substr({p}, 2)"
@@ -101,7 +106,7 @@ names AS (
     WHEN id % 3 = 1 THEN {' || '.join(_CAPITAL.format(p=_pick(k)) for k in range(5))} ELSE {' || '.join(_pick(k) for k in range(6))} END AS text, 0 AS label
   FROM range(4000) t(id), src),
 pairs AS (
-  SELECT label, strpos({_text(secrets.ALPHABET)}, substr(text, i, 1)) - 1 AS a, strpos({_text(secrets.ALPHABET)}, substr(text, i + 1, 1)) - 1 AS b
+  SELECT label, strpos({_text(_ALPHABET)}, substr(text, i, 1)) - 1 AS a, strpos({_text(_ALPHABET)}, substr(text, i + 1, 1)) - 1 AS b
   FROM (SELECT label, text, unnest(range(1, length(text))) AS i FROM (SELECT * FROM strings UNION ALL SELECT * FROM names))),
 seen AS (SELECT label, a, b, count(*) AS n FROM pairs WHERE a >= 0 AND b >= 0 GROUP BY ALL),
 cells AS (
@@ -109,13 +114,13 @@ cells AS (
 logs AS (SELECT label, a, b, ln(n / sum(n) OVER (PARTITION BY label, a)) AS l FROM cells),
 model AS (SELECT list(q ORDER BY a, b) AS q FROM (SELECT a, b, round(1000 * (max(l) FILTER (label = 1) - max(l) FILTER (label = 0)))::BIGINT AS q FROM logs GROUP BY a, b)),
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-base AS (SELECT doc_id, t, {_spans(secrets.ASSIGN, 2, 6)} AS assign, {_spans(secrets.ACCESS)} AS access, {_spans(secrets.HEX)} AS hex, {_spans('[A-Za-z0-9+/_=-]{20,}')} AS runs FROM d),
+base AS (SELECT doc_id, t, {_spans(_ASSIGN, 2, 6)} AS assign, {_spans(_ACCESS)} AS access, {_spans(_HEX)} AS hex, {_spans('[A-Za-z0-9+/_=-]{20,}')} AS runs FROM d),
 free AS (SELECT *, list_filter(runs, lambda x: len(list_filter(assign || access || hex, lambda y: y.s < x.e AND x.s < y.e)) = 0) AS left_ FROM base),
-codes AS (SELECT *, list_transform(left_, lambda x: {{'s': x.s, 'e': x.e, 'c': list_transform(range(x.s + 1, x.e + 1), lambda i: strpos({_text(secrets.ALPHABET)}, substr(t, i, 1)) - 1)}}) AS coded FROM free),
+codes AS (SELECT *, list_transform(left_, lambda x: {{'s': x.s, 'e': x.e, 'c': list_transform(range(x.s + 1, x.e + 1), lambda i: strpos({_text(_ALPHABET)}, substr(t, i, 1)) - 1)}}) AS coded FROM free),
 found AS (
   SELECT *, list_transform(list_filter(coded, lambda x: floor(list_sum(list_transform(range(1, len(x.c)), lambda i: q[x.c[i] * {_K} + x.c[i + 1] + 1])) / (len(x.c) - 1)) >= 500), lambda x: {{'s': x.s, 'e': x.e}}) AS markov
   FROM codes, model)
-SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex, sha256({_joined(secrets.KINDS[:3])}) AS base_sha256, {_joined(secrets.KINDS)} AS spans FROM found
+SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex, sha256({_joined(_KINDS[:3])}) AS base_sha256, {_joined(_KINDS)} AS spans FROM found
 """
 
 _BLANK = r"[^\x20\x09-\x0D]"

@@ -299,6 +299,9 @@ def test_near_duplicates_odd_cases(spark):
     assert len(got) == 7 and {r["component_id"] for r in got if r["fingerprint"] == "0" * 16} == {1}
     kept = simhash.one_of_each(odd(spark))
     assert kept.columns == odd(spark).columns
+    clash = odd(spark).withColumns({c: F.lit("own") for c in ("_id", "id", "t", "_t", "at", "stays", "n")})
+    for f in (simhash.one_of_each, simhash.one_of_each_similar):
+        assert f(clash).where("_id = 'own' and id = 'own' and t = 'own' and _t = 'own' and at = 'own' and stays = 'own' and n = 'own'").count() == 4
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5]
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
@@ -407,12 +410,31 @@ def test_secret_spans_equal_regular_expressions(spark):
     assert row[0] == ",".join(brute_base(many))
 
 
+def test_redaction_of_long_texts_equals_slicing(spark):
+    rng = random.Random(6)
+    parts = ["token=abcdef1", "deadbeef" * 4, "AKIA" + "ABCDEFGH" * 3, "é😀 words and so on ", "dGhpcyBpcyBhIHNlY3JldCB2YWx1ZSE9Zk8xQ2", "x" * 5000 + " ", "\n", "secret: " + "0a" * 20, "plain " * 300]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "."]) for _ in range(n)) for n in (3, 30, 300, 2000)]
+    df = docs(spark, texts)
+    spans = {r["doc_id"]: sorted((s["start"], s["end"]) for k in secrets.KINDS for s in r[k]) for r in secrets.scan(df).collect()}
+    for r in secrets.redact(df).collect():
+        text, out, at = texts[r["doc_id"]], "", 0
+        for a, b in spans[r["doc_id"]]:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r["text"] == out + text[at:] and r["n_chars"] == len(r["text"])
+    assert len(spans[3]) > 800
+
+
 def test_redaction(spark):
     got = [r["text"] for r in secrets.redact(docs(spark, SECRET_TEXTS)).orderBy("doc_id").collect()]
     assert got[0] is None and got[2].startswith("password=abc [SECRET]' [SECRET]\" ") and got[3] == "😀 [SECRET]\n[SECRET]" and got[8] == "[SECRET]"
     out = secrets.redact(odd(spark))
     assert out.columns == odd(spark).columns and out.where("hex <> 'own'").count() == 0 and out.count() == 7
     assert secrets.redact(spark.createDataFrame([], DOCS)).count() == 0
+    clash = docs(spark, SECRET_TEXTS).withColumns({c: F.lit("own") for c in ("_new", "new", "row", "z", "blocks", "runs", "markov", "Hex", "a.b")})
+    out = secrets.redact(clash)
+    assert out.columns == clash.columns and out.where("_new = 'own' and new = 'own' and row = 'own' and z = 'own' and markov = 'own' and Hex = 'own' and `a.b` = 'own'").count() == len(SECRET_TEXTS)
 
 
 def test_markov_models_tell_random_strings_from_names(spark):
@@ -540,7 +562,7 @@ def test_leaks_equal_brute_force(spark):
     for max_words in (200_000, 25):  # one automaton, and several
         got = decontaminate.matches(docs(spark, texts), bench, max_words=max_words).select("doc_id", "leak.*").orderBy("doc_id").collect()
         assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == [brute_leaks(t, items) for t in texts]
-    assert len(decontaminate.automata(bench, max_words=25)) > 2
+    assert decontaminate.automata(bench, max_words=25).count() > 2
 
 
 def test_strip_removes_long_spans_and_covered_documents(spark):
@@ -552,6 +574,11 @@ def test_strip_removes_long_spans_and_covered_documents(spark):
     out = decontaminate.strip(odd(spark), bench)
     assert out.columns == odd(spark).columns and out.count() == 7
     assert decontaminate.strip(odd(spark), bench.limit(0)).count() == 7
+    clash = docs(spark, [f"{rest}, {item.upper()}. End", item, rest, None]).withColumns({c: F.lit("own") for c in ("leak", "_leak", "i", "t", "hit_i", "a.b")})
+    for max_words in (5, 1000):
+        out = decontaminate.strip(clash, bench, max_words=max_words)
+        assert out.columns == clash.columns and out.where("leak = 'own' and _leak = 'own' and i = 'own' and hit_i = 'own' and `a.b` = 'own'").count() == 3
+        assert sorted((r["doc_id"], r["text"]) for r in out.collect())[0][1] == f"{rest}, . End"
 
 
 # 10 --------------------------------------------------------------------------------------------
