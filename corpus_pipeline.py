@@ -1,5 +1,14 @@
 """The corpus pipeline: five stages over ``documents``, each on what the stage
-before it kept.  Every stage but the last returns the columns of documents."""
+before it kept.  Every stage but the last returns the columns of documents.
+
+Defined cases: null, empty and blank texts are scored like any text; those that
+stay are one group to the near-dedup and have no tokens to draw, so they end
+there or with the mixing; rows with a null doc_id are rows like any other, and
+the last of their group to be chosen; of repeated rows one stays; very long texts
+are taken whole; an empty table gives no rows; extra columns go through,
+whatever their names, but for domain, epoch, tokens and taken, which the mixing
+adds; n_chars, where a stage changes a text, is the new text's.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm import decontaminate, mixing, quality_gam, secrets, simhash
-from gridweave.llm.common import shared_dir, table
+from gridweave.llm.common import remove, shared_dir, table
 from gridweave.llm.queries import MIX, source_group
 
 
@@ -40,7 +49,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     budget ends is cut there."""
     out = mixing.mix(docs, source_group(), MIX, share=0.5, seed=17, max_epochs=4)
     text = F.when(F.col("taken") < F.col("tokens"), mixing.prefix(F.col("text"), F.col("taken"))).otherwise(F.col("text"))
-    return out.withColumn("text", text)
+    out = out.withColumn("text", text)
+    return out.withColumn("n_chars", F.when(F.col("taken") < F.col("tokens"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
 
 
 STAGES = [
@@ -56,11 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each is written as Parquet to the shared folder and reread."""
+    """All stages; each is written as Parquet to the shared folder and reread, and
+    goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{top}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{top}/{k - 1}")
     return docs
