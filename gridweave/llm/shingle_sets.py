@@ -12,12 +12,19 @@ for which no index over 64 bits is selective.  Fingerprints do prune candidates:
 ``near`` is asked of both sides' before their sets are compared.)
 
 Checks.  A candidate pair is linked if the Jaccard similarity of the two whole
-sets, counted, is ``jaccard`` or more.  In each key all members are first held
-against a leader.  Members that are one component by then need no further check
-against each other; every other pair under a key whose sizes allow the
-similarity is checked.  So components are
-those of all candidate pairs, while a group of near copies costs rows in
-proportion to its size.
+sets, counted, is ``jaccard`` or more; components are those of all candidate
+pairs.  They are found in three steps, so that a group of near copies costs rows
+in proportion to its size, not to its pairs:
+
+1. In each key all members are held against a leader.  Members that are one
+   component by then need no further check against each other.
+2. In keys that still have several components, shingles that no other open node
+   has are counted: of two nodes with n and m shingles of which others have at
+   most p and q, min(p, q) at most are common.  Members that by this bound
+   cannot be similar enough to any other of the key go; the rest are held against
+   the one with the least share of such shingles, the most central.
+3. What may still be linked across components, by the bound, is checked pair by
+   pair, each pair under its first common key.
 
 Defined cases: null, empty and blank texts have the empty set and are one node;
 texts of fewer words than a shingle are one shingle.
@@ -93,6 +100,27 @@ def _checked(pairs: DataFrame, whole: DataFrame, jaccard: float) -> DataFrame:
     return cut(met.where(both / (F.size("sa") + F.size("sb") - both) >= jaccard).select("a", "b"))
 
 
+def _merged(own: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (fp, label) after links (a, b) between fps: components of the graph
+    whose nodes are the components so far."""
+    side = lambda c: own.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"))
+    joined = components(more.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("low"))
+    return cut(own.join(joined, "label", "left").select("fp", F.coalesce("low", "label").alias("label")))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of keys that have several labels."""
+    rows = cut(rows)
+    keys = cut(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least"))
+    return cut(rows.join(keys, "key"))
+
+
+def _bound(n: Column, m: Column, p: Column) -> Column:
+    """The largest similarity of sets of n and m that share p at most."""
+    return p / (n + F.greatest(m, p) - p)
+
+
 def labels(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column], words_per_shingle: int, jaccard: float) -> DataFrame:
     """(node, label): the component, over all candidate pairs of ``jaccard`` or
     more, of each node that has any.
@@ -101,26 +129,38 @@ def labels(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Call
     and text for a table of the fps that are wanted; ``near`` of two ``sim`` says
     whether sets may be as similar.
     """
+    c = F.col
+    may = (c("fp") != c("fp2")) & (F.least("n", "n2") / F.greatest("n", "n2") >= jaccard) & near(c("sim"), c("sim2"))
+    pair = (F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
     rows = keyed.select("fp", "n", "sim", F.explode("bands").alias("key"))
     # a table of its own, so that AQE can split what a hot key's join reads
     many = cut(rows.groupBy("key").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("fp", "key").alias("h"), "fp", "n", "sim")).alias("lead")).where("k > 1"))
-    shared = cut(rows.join(many, "key").select("key", "fp", "n", "sim", F.col("lead.fp").alias("fp2"), F.col("lead.n").alias("n2"), F.col("lead.sim").alias("sim2")))
-    may = (F.col("fp") != F.col("fp2")) & (F.least("n", "n2") / F.greatest("n", "n2") >= jaccard) & near(F.col("sim"), F.col("sim2"))
-    pair = (F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
-    whole = cut(texts(shared.select("fp").distinct()).select("fp", sets(F.col("text"), words_per_shingle).alias("s")).dropDuplicates(["fp"]))
-    found = components(_checked(shared.where(may).select(*pair).distinct(), whole, jaccard))
-    several = cut(shared.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", "sim", F.coalesce("label", "fp").alias("label")))
-    open_keys = cut(several.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
-    left = cut(several.join(open_keys, "key"))
-    other = left.select("key", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "sim", "label")])
-    rest = left.join(other, "key").where((F.col("fp") < F.col("fp2")) & (F.col("label") != F.col("label2")) & may)
-    more = _checked(rest.select(*pair).distinct(), whole, jaccard)
-    if more.isEmpty():
-        return found
-    # links between whole components: those are the nodes of a second, smaller graph
+    shared = cut(rows.join(many, "key").select("key", "fp", "n", "sim", c("lead.fp").alias("fp2"), c("lead.n").alias("n2"), c("lead.sim").alias("sim2")))
+    whole = cut(texts(shared.select("fp").distinct()).select("fp", sets(c("text"), words_per_shingle).alias("s")).dropDuplicates(["fp"]))
+    found = components(_checked(shared.where(may).select(*pair).distinct(), whole, jaccard)).withColumnRenamed("node", "fp")
+    names = lambda own: own.select(c("fp").alias("node"), "label")
+
+    left = _open(shared.join(found, "fp", "left").select("key", "fp", "n", "sim", F.coalesce("label", "fp").alias("label")))
+    if left.isEmpty():
+        return names(found)
     own = cut(left.select("fp", "label").distinct())
-    side = lambda c: own.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"))
-    joined = components(more.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("low"))
-    every = found.unionByName(own.select(F.col("fp").alias("node"), "label")).distinct()
-    return cut(every.join(joined, "label", "left").select("node", F.coalesce("low", "label").alias("label")))
+    alone = whole.join(own, "fp").select("fp", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).where("k = 1")
+    alone = cut(alone.groupBy("fp").agg(F.count("*").alias("u")))
+    left = left.join(alone, "fp", "left").withColumn("p", c("n") - F.coalesce("u", F.lit(0)))
+    left = _open(left.where(_bound(c("n"), c("least"), c("p")) >= jaccard).select("key", "fp", "n", "sim", "p", "label"))
+    lead = cut(left.groupBy("key").agg(F.min(F.struct(((c("n") - c("p")) / c("n")).alias("r"), F.xxhash64("fp", "key").alias("h"), "fp", "n", "sim", "p", "label")).alias("lead")))
+    may = may & (c("label") != c("label2")) & (_bound(c("n"), c("n2"), F.least("p", "p2")) >= jaccard)
+    carried = ("fp", "n", "sim", "p", "label")
+    met = left.join(lead, "key").select(*carried, *[c(f"lead.{x}").alias(f"{x}2") for x in carried])
+    more = _checked(met.where(may).select(*pair).distinct(), whole, jaccard)
+    every = cut(found.unionByName(own).distinct())
+    if not more.isEmpty():
+        every = _merged(every, more)
+
+    left = _open(left.drop("label", "least").join(every, "fp"))
+    own = cut(left.select("fp").distinct().join(keyed, "fp").select("fp", "bands"))
+    left = cut(left.join(own, "fp").select("key", *carried, "bands"))
+    other = left.select("key", *[c(x).alias(f"{x}2") for x in (*carried, "bands")])
+    first = F.get(F.filter(F.zip_with("bands", "bands2", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 0) == c("key")
+    more = _checked(left.join(other, "key").where((c("fp") < c("fp2")) & may & first).select(*pair), whole, jaccard)
+    return names(every if more.isEmpty() else _merged(every, more))
