@@ -45,6 +45,8 @@ from ..operators.graph import components
 from .common import cut
 
 BANDS, ROWS = 20, 5
+#: Eight bytes each, so a broadcast table of sets is about 8 MB.
+BROADCAST_HASHES = 1_000_000
 BLOCK = 2048
 _random = np.random.default_rng(42)
 _XOR, _ODD = (_random.integers(0, 2**64, BANDS * ROWS, np.uint64) for _ in range(2))
@@ -94,10 +96,14 @@ def sets(text: Column, words_per_shingle: int) -> Column:
 
 def _checked(pairs: DataFrame, whole: DataFrame, jaccard: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sets in ``whole`` (fp, s) are similar enough."""
-    side = lambda c: whole.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
+    pairs = cut(pairs)
+    met = cut(whole.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp"))
+    hashes = met.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
+    met = F.broadcast(met) if hashes <= BROADCAST_HASHES else met
+    side = lambda c: met.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    met = cut(pairs).join(side("a"), "a").join(side("b"), "b")
-    return cut(met.where(both / (F.size("sa") + F.size("sb") - both) >= jaccard).select("a", "b"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    return cut(rows.where(both / (F.size("sa") + F.size("sb") - both) >= jaccard).select("a", "b"))
 
 
 def _merged(own: DataFrame, more: DataFrame) -> DataFrame:
@@ -116,6 +122,15 @@ def _open(rows: DataFrame) -> DataFrame:
     return cut(rows.join(keys, "key"))
 
 
+def _central(left: DataFrame, whole: DataFrame, jaccard: float) -> DataFrame:
+    """Open rows that may be similar to another of their key, with p: how many
+    of their shingles are in any other open node."""
+    alone = whole.join(left.select("fp").distinct(), "fp").select("fp", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).where("k = 1")
+    alone = cut(alone.groupBy("fp").agg(F.count("*").alias("u")))
+    left = left.join(alone, "fp", "left").withColumn("p", F.col("n") - F.coalesce("u", F.lit(0)))
+    return _open(left.where(_bound(F.col("n"), F.col("least"), F.col("p")) >= jaccard).select("key", "fp", "n", "sim", "p", "label"))
+
+
 def _bound(n: Column, m: Column, p: Column) -> Column:
     """The largest similarity of sets of n and m that share p at most."""
     return p / (n + F.greatest(m, p) - p)
@@ -143,21 +158,18 @@ def labels(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Call
     left = _open(shared.join(found, "fp", "left").select("key", "fp", "n", "sim", F.coalesce("label", "fp").alias("label")))
     if left.isEmpty():
         return names(found)
-    own = cut(left.select("fp", "label").distinct())
-    alone = whole.join(own, "fp").select("fp", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).where("k = 1")
-    alone = cut(alone.groupBy("fp").agg(F.count("*").alias("u")))
-    left = left.join(alone, "fp", "left").withColumn("p", c("n") - F.coalesce("u", F.lit(0)))
-    left = _open(left.where(_bound(c("n"), c("least"), c("p")) >= jaccard).select("key", "fp", "n", "sim", "p", "label"))
+    every = cut(found.unionByName(left.select("fp", "label")).distinct())
+    left = _central(left, whole, jaccard)
     lead = cut(left.groupBy("key").agg(F.min(F.struct(((c("n") - c("p")) / c("n")).alias("r"), F.xxhash64("fp", "key").alias("h"), "fp", "n", "sim", "p", "label")).alias("lead")))
     may = may & (c("label") != c("label2")) & (_bound(c("n"), c("n2"), F.least("p", "p2")) >= jaccard)
     carried = ("fp", "n", "sim", "p", "label")
     met = left.join(lead, "key").select(*carried, *[c(f"lead.{x}").alias(f"{x}2") for x in carried])
     more = _checked(met.where(may).select(*pair).distinct(), whole, jaccard)
-    every = cut(found.unionByName(own).distinct())
     if not more.isEmpty():
         every = _merged(every, more)
 
-    left = _open(left.drop("label", "least").join(every, "fp"))
+    # fewer nodes are open now, so more shingles are in one of them alone
+    left = _central(_open(left.select("key", "fp", "n", "sim").join(every, "fp")), whole, jaccard)
     own = cut(left.select("fp").distinct().join(keyed, "fp").select("fp", "bands"))
     left = cut(left.join(own, "fp").select("key", *carried, "bands"))
     other = left.select("key", *[c(x).alias(f"{x}2") for x in (*carried, "bands")])
