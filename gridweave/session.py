@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Cuts between two collections.
+RELEASE = 8
+_cuts = count(1)
+
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution; settings given as a_b_c name a.b.c.
@@ -41,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
     Loops need it so that plans stay short and a lost executor costs a re-read.
+    Now and then the driver's garbage is collected, for Spark deletes the shuffle
+    files of tables that are gone only then.
     """
     checkpoint_dir(df.sparkSession)
+    if next(_cuts) % RELEASE == 0:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return df.checkpoint(eager=True)
