@@ -96,14 +96,14 @@ def sets(text: Column, words_per_shingle: int) -> Column:
 
 def _checked(pairs: DataFrame, whole: DataFrame, jaccard: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sets in ``whole`` (fp, s) are similar enough."""
-    pairs = cut(pairs)
+    pairs = cut(pairs.repartition("a", "b"))  # by pair: a hot key's are in few partitions
     met = cut(whole.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp"))
     hashes = met.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
     met = F.broadcast(met) if hashes <= BROADCAST_HASHES else met
     side = lambda c: met.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
-    both = F.size(F.array_intersect("sa", "sb"))
+    both = F.array(F.size(F.array_intersect("sa", "sb")))  # as a lambda's argument it is evaluated once
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    return cut(rows.where(both / (F.size("sa") + F.size("sb") - both) >= jaccard).select("a", "b"))
+    return cut(rows.where(F.exists(both, lambda n: n / (F.size("sa") + F.size("sb") - n) >= jaccard)).select("a", "b"))
 
 
 def _merged(own: DataFrame, more: DataFrame) -> DataFrame:
