@@ -45,8 +45,8 @@ from ..operators.graph import components
 from .common import cut
 
 BANDS, ROWS = 20, 5
-#: Eight bytes each, so a broadcast table of sets is about 8 MB.
-BROADCAST_HASHES = 1_000_000
+#: Eight bytes each, so a broadcast table of sets is under 2 MB.
+BROADCAST_HASHES = 200_000
 BLOCK = 2048
 _random = np.random.default_rng(42)
 _XOR, _ODD = (_random.integers(0, 2**64, BANDS * ROWS, np.uint64) for _ in range(2))
@@ -116,8 +116,7 @@ def _merged(own: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """The rows of keys that have several labels."""
-    rows = cut(rows)
+    """The rows (of a cut, or cheap) of keys that have several labels."""
     keys = cut(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("key", "least"))
     return cut(rows.join(keys, "key"))
 
@@ -128,7 +127,7 @@ def _central(left: DataFrame, whole: DataFrame, jaccard: float) -> DataFrame:
     alone = whole.join(left.select("fp").distinct(), "fp").select("fp", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("k"), F.min("fp").alias("fp")).where("k = 1")
     alone = cut(alone.groupBy("fp").agg(F.count("*").alias("u")))
     left = left.join(alone, "fp", "left").withColumn("p", F.col("n") - F.coalesce("u", F.lit(0)))
-    return _open(left.where(_bound(F.col("n"), F.col("least"), F.col("p")) >= jaccard).select("key", "fp", "n", "sim", "p", "label"))
+    return _open(cut(left).where(_bound(F.col("n"), F.col("least"), F.col("p")) >= jaccard).select("key", "fp", "n", "sim", "p", "label"))
 
 
 def _bound(n: Column, m: Column, p: Column) -> Column:
@@ -155,7 +154,7 @@ def labels(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Call
     found = components(_checked(shared.where(may).select(*pair).distinct(), whole, jaccard)).withColumnRenamed("node", "fp")
     names = lambda own: own.select(c("fp").alias("node"), "label")
 
-    left = _open(shared.join(found, "fp", "left").select("key", "fp", "n", "sim", F.coalesce("label", "fp").alias("label")))
+    left = _open(cut(shared.join(found, "fp", "left").select("key", "fp", "n", "sim", F.coalesce("label", "fp").alias("label"))))
     if left.isEmpty():
         return names(found)
     every = cut(found.unionByName(left.select("fp", "label")).distinct())
@@ -169,7 +168,7 @@ def labels(keyed: DataFrame, texts: Callable[[DataFrame], DataFrame], near: Call
         every = _merged(every, more)
 
     # fewer nodes are open now, so more shingles are in one of them alone
-    left = _central(_open(left.select("key", "fp", "n", "sim").join(every, "fp")), whole, jaccard)
+    left = _central(_open(cut(left.select("key", "fp", "n", "sim").join(every, "fp"))), whole, jaccard)
     own = cut(left.select("fp").distinct().join(keyed, "fp").select("fp", "bands"))
     left = cut(left.join(own, "fp").select("key", *carried, "bands"))
     other = left.select("key", *[c(x).alias(f"{x}2") for x in (*carried, "bands")])

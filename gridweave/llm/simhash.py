@@ -56,7 +56,7 @@ from .common import cut, few_rows_a_batch, fresh, small
 SEGMENTS, SEGMENT_BITS, MAX_DISTANCE = 4, 16, 2
 BLOCK = 255 * 64
 #: Rows of two numbers, so a broadcast table is under 10 MB.
-SMALL = 200_000
+SMALL = 100_000
 
 
 def _majority(counts: np.ndarray, n: int) -> int:
