@@ -29,16 +29,37 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
-def document_edits() -> F.Column:
-    """op3: the edits of a packing step: a head, a cut of 16 characters in the
-    middle and a tail."""
+def packing_edits() -> F.Column:
+    """op3, first round: a head, a cut of 16 characters in the middle, a tail."""
     n = F.length(F.coalesce("text", F.lit("")))
-    edit = lambda a, b, t: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(t).alias("text"))
-    return F.array(edit(F.lit(0), F.lit(0), "<doc>\n"), edit(F.floor(n / 2), F.floor(n / 2) + 16, ""), edit(n, n, "\n</doc>"))
+    return F.array(_edit(F.lit(0), F.lit(0), "<doc>\n"), _edit(F.floor(n / 2), F.floor(n / 2) + 16, ""), _edit(n, n, "\n</doc>"))
+
+
+def late_edits() -> F.Column:
+    """op3, second round, on the texts of the first: another word after a third,
+    and another closing mark."""
+    n = F.length("text")
+    return F.array(_edit(F.floor(n / 3), F.floor(n / 3) + 5, " word "), _edit(n - 6, n, "<end>"))
+
+
+def _edit(start: F.Column, end: F.Column, text: str) -> F.Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(text).alias("text"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(table(spark, sf_dir, "documents"), document_edits())
+    path = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_counts.build(docs).write.option("compression", "zstd").parquet(path)
+    chars = lambda name: F.length(F.coalesce("text", F.lit(""))).cast("long").alias(name)
+    kept = spark.read.parquet(path).select("doc_id", "text", "tree", chars("n_chars"), F.col("tree.n_pretokens"), F.col("tree.n_tokens"))
+    counts = ["n_chars", "n_pretokens", "n_tokens"]
+    first = token_counts.apply(kept, packing_edits())
+    first = first.withColumns({"n_chars_after": F.length("text").cast("long"), "n_tokens_after": F.col("tree.n_tokens"), "n_reencoded": F.col("edited")})
+    counts += ["n_chars_after", "n_tokens_after", "n_reencoded"]
+    second = token_counts.apply(first, late_edits())
+    rows = cut(second.select("doc_id", *counts, chars("n_chars_later"), F.col("tree.n_tokens").alias("n_tokens_later"), F.col("edited").alias("n_reencoded_later")))
+    remove(spark, path)
+    return rows
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,14 +10,22 @@ that looks at what changed) until a new boundary meets an old one behind the
 edit; only these pre-tokens are encoded again, and the sums above their blocks
 are updated.
 
+``build`` makes a table of documents with their trees, to be kept wherever the
+caller writes it (as Parquet, say); ``apply`` takes such a table and edits, and
+gives the same table after the edits, without encoding a whole text.  So a second
+and a third round of edits cost what they touch.
+
 Counts are exact: the result equals a full recount of the edited text.
 
 Defined cases: null and empty texts have no tokens; edits of null or empty lists
-change nothing; offsets are code points of the original text, are clamped to it,
-and edits may come in any order but must not overlap (of overlapping ones the
-later is clamped to the end of the earlier); a null replacement is empty;
-repeated rows are counted one by one; an empty table gives no rows.  The
-vocabulary is a file that every worker can read; its path is a parameter.
+change nothing; offsets are code points of the text before the round's edits, are
+clamped to it, and edits may come in any order but must not overlap (of
+overlapping ones the later is clamped to the end of the earlier); a null
+replacement is empty; repeated rows are counted one by one; very long texts are
+one tree each, in a worker's memory whole; other columns are kept by ``build``
+and ``apply``, whatever their names (columns called tree or edited are
+replaced); an empty table gives no rows.  The vocabulary is a file that every
+worker can read; its path is a parameter.
 """
 
 from __future__ import annotations
@@ -31,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import few_rows_a_batch
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that goes with that vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -105,6 +115,24 @@ class Document:
         self.encoded = 0
         self._build(*enc.whole(text))
 
+    @classmethod
+    def load(cls, text: str, tree: dict, enc: Encoder) -> Document:
+        """The document that ``store`` kept: nothing is encoded."""
+        doc = cls.__new__(cls)
+        doc.enc, doc.block, doc.text, doc.encoded = enc, tree["block"], text, 0
+        ends = np.cumsum(np.frombuffer(tree["leaves"], np.int32))
+        doc.sizes = np.split(np.frombuffer(tree["sizes"], np.int32).astype(np.int64), ends[:-1])
+        doc.tokens = np.split(np.frombuffer(tree["tokens"], np.int32).astype(np.int64), ends[:-1])
+        doc.width = tree["width"]
+        doc.sums = np.frombuffer(tree["sums"], np.int64).reshape(2, -1).copy()
+        return doc
+
+    def store(self) -> dict:
+        """The tree as plain arrays: pre-tokens to a leaf, their lengths and
+        counts, the nodes' sums."""
+        flat = lambda parts: np.concatenate(parts).astype(np.int32).tobytes()
+        return {"block": self.block, "width": self.width, "leaves": np.array([len(x) for x in self.sizes], np.int32).tobytes(), "sizes": flat(self.sizes), "tokens": flat(self.tokens), "sums": self.sums.tobytes(), "n_pretokens": self.n_pretokens, "n_tokens": self.n_tokens}
+
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         n = len(pieces)
         self.encoded += n
@@ -211,27 +239,37 @@ def ordered(edits: Sequence[dict] | None, length: int) -> list[tuple[int, int, s
     return out
 
 
-def recount(text: str | None, edits: Sequence[dict] | None, enc: Encoder) -> tuple[int, int, int, int, int, int]:
-    """chars, pre-tokens, tokens; the same chars and tokens after the edits;
-    pre-tokens that were encoded for these."""
-    text = text or ""
-    doc = Document(text, enc)
-    before = len(text), doc.n_pretokens, doc.n_tokens
-    for start, end, new in reversed(ordered(edits, len(text))):  # from the end, so that offsets hold
-        doc.edit(start, end, new)
-    return *before, len(doc.text), doc.n_tokens, doc.encoded
+TREE = pa.struct([("block", pa.int32()), ("width", pa.int32()), ("leaves", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("sums", pa.binary()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
+TREE_SQL = "struct<block:int,width:int,leaves:binary,sizes:binary,tokens:binary,sums:binary,n_pretokens:bigint,n_tokens:bigint>"
 
 
-COUNTS = ("n_chars", "n_pretokens", "n_tokens", "n_chars_after", "n_tokens_after", "n_reencoded")
+def build(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, block: int = 64) -> DataFrame:
+    """``docs`` plus ``tree``: each text is encoded, once."""
 
+    def run(texts: pa.Array) -> pa.Array:
+        enc = encoder(vocabulary, pattern)
+        return pa.array([Document(t.as_py() or "", enc, block).store() for t in texts], TREE)
 
-def count(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """doc_id and COUNTS for each row; ``edits`` is an array of (start, end, text)."""
-    kind = pa.struct([(c, pa.int64()) for c in COUNTS])
+    return few_rows_a_batch(docs).withColumn("tree", F.arrow_udf(run, TREE_SQL).asNondeterministic()("text"))
 
-    def run(texts: pa.Array, changes: pa.Array) -> pa.Array:
-        enc = encoder(vocabulary, pattern)
-        return pa.array([dict(zip(COUNTS, recount(t.as_py(), c.as_py(), enc))) for t, c in zip(texts, changes)], kind)
 
-    udf = F.arrow_udf(run, f"struct<{','.join(f'{c}:bigint' for c in COUNTS)}>").asNondeterministic()
-    return docs.select("doc_id", udf(F.col("text"), edits.cast(EDITS)).alias("c")).select("doc_id", "c.*")
+def apply(trees: DataFrame, edits: Column, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """``trees`` after ``edits`` (an array of start, end, text): text and tree
+    are new, ``edited`` is how many pre-tokens were encoded for it."""
+    kind = pa.struct([("text", pa.string()), ("tree", TREE), ("edited", pa.int64())])
+
+    def run(texts: pa.Array, kept: pa.Array, changes: pa.Array) -> pa.Array:
+        enc = encoder(vocabulary, pattern)
+        out = []
+        for t, tree, change in zip(texts, kept, changes):
+            text = t.as_py()
+            doc = Document.load(text or "", tree.as_py(), enc)
+            todo = ordered(change.as_py(), len(doc.text))
+            for start, end, new in reversed(todo):  # from the end, so that offsets hold
+                doc.edit(start, end, new)
+            out.append({"text": doc.text if todo or text is not None else None, "tree": doc.store(), "edited": doc.encoded})
+        return pa.array(out, kind)
+
+    udf = F.arrow_udf(run, f"struct<text:string,tree:{TREE_SQL},edited:bigint>").asNondeterministic()
+    new = few_rows_a_batch(trees).withColumn("edited", udf(F.col("text"), F.col("tree"), edits.cast(EDITS)))
+    return new.withColumns({"text": F.col("edited.text"), "tree": F.col("edited.tree"), "edited": F.col("edited.edited")})

@@ -203,12 +203,36 @@ def test_only_touched_regions_are_encoded_again():
     assert 0 < doc.encoded < 20
 
 
+def test_kept_trees_take_round_after_round(spark, tmp_path):
+    enc = token_counts.encoder(token_counts.VOCABULARY)
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["ab ", "c", "  ", "\n", "1", "é😀", "'ll"]) for _ in range(n)) for n in (0, 1, 50, 3000, 9000)] + [None]
+    token_counts.build(docs(spark, texts)).write.parquet(str(tmp_path / "0"))
+    now = dict(enumerate(texts))
+    for k in range(3):
+        trees = spark.read.parquet(str(tmp_path / str(k)))
+        spots = {d: sorted(rng.randrange(len(t or "") + 1) for _ in range(2)) for d, t in now.items()}
+        edits = F.lit(None)
+        for d, (a, b) in spots.items():
+            edits = F.when(F.col("doc_id") == d, F.array(*[F.struct(F.lit(x).alias("start"), F.lit(x + 3).alias("end"), F.lit(f" w{k}").alias("text")) for x in (b, a)])).otherwise(edits)
+        token_counts.apply(trees, edits).write.parquet(str(tmp_path / str(k + 1)))
+        for r in spark.read.parquet(str(tmp_path / str(k + 1))).collect():
+            t, (a, b) = now[r["doc_id"]] or "", spots[r["doc_id"]]
+            b = max(b, min(a + 3, len(t)))
+            want = t[:a] + f" w{k}" + t[a + 3 : b] + f" w{k}" + t[max(b, min(spots[r["doc_id"]][1] + 3, len(t))) :]
+            assert r["text"] == want and r["tree"]["n_tokens"] == len(enc.encoding.encode_ordinary(want))
+            assert r["tree"]["n_pretokens"] == len(enc.cut.findall(want)) and r["edited"] < 60
+            now[r["doc_id"]] = want
+
+
 def test_token_count_odd_cases(spark):
-    got = token_counts.count(odd(spark), queries.document_edits()).orderBy("doc_id", "n_chars").collect()
-    assert len(got) == 7
+    clash = odd(spark).withColumns({"tree": F.lit("own"), "edited": F.lit("own"), "n_tokens": F.lit("own")})
+    got = token_counts.apply(token_counts.build(clash), queries.packing_edits()).orderBy("doc_id", "n_chars").collect()
+    assert len(got) == 7 and all(r["n_tokens"] == "own" for r in got)
     by = {r["doc_id"]: r for r in got}
-    assert by[1]["n_tokens"] == by[2]["n_tokens"] == 0 and by[1]["n_chars_after"] == len("<doc>\n\n</doc>")
-    assert by[5]["n_reencoded"] < 60
+    assert by[1]["text"] == "<doc>\n\n</doc>" and by[5]["edited"] < 60
+    kept = token_counts.apply(token_counts.build(odd(spark)), F.lit(None)).collect()
+    assert all(r["edited"] == 0 for r in kept) and {r["doc_id"]: r["text"] for r in kept}[1] is None
     edits = [{"start": 3, "end": 1, "text": None}, {"start": -5, "end": 2, "text": "x"}, {"start": 1, "end": 99, "text": "y"}, None]
     assert token_counts.ordered(edits, 10) == [(0, 2, "x"), (2, 10, "y"), (10, 10, "")]
 
