@@ -168,7 +168,7 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
-def judge(docs: DataFrame, max_class_distance: float = 0.3, class_slack: float = 2.0, max_word_distance: float = 0.22, word_slack: float = 1.0, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, max_class_distance: float = 0.25, class_slack: float = 1.0, max_word_distance: float = 0.22, word_slack: float = 1.0, min_chars: int = 200, min_words: int = 50) -> DataFrame:
     """doc_id, lang, the base counts, both distances, base_failed and kept."""
     rows = cut(docs.select("doc_id", "lang", count_texts(F.col("text")).alias("c")))
     refs = references(rows)

@@ -161,7 +161,7 @@ out_ AS (
     length(t) AS chars, far_w.far AS fw, far_c.far AS fc
   FROM w JOIN class USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN far_w USING (r) LEFT JOIN far_c USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR coalesce(chars >= 200 AND fc > 0.3 + 2.0 / sqrt(chars), false) OR coalesce(n_words >= 50 AND fw > 0.22 + 1.0 / sqrt(n_words), false)) AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR coalesce(chars >= 200 AND fc > 0.25 + 1.0 / sqrt(chars), false) OR coalesce(n_words >= 50 AND fw > 0.22 + 1.0 / sqrt(n_words), false)) AS kept
 FROM out_
 """
 
