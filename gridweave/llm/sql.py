@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import divergence, secrets, url_filter
 
-_LISTED = ", ".join(f"'{x}'" for x in url_filter.LISTED)
+_LISTED = " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(repr(x) for x in xs)}]) AS {c})" for c, xs in (("a", url_filter.FIRST), ("b", url_filter.LAST), ("n", ("", *"123456789")), ("t", url_filter.SUFFIXES)))
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -20,7 +20,8 @@ fit AS (
   FROM p JOIN rules k ON (p.host = k.host OR ends_with(p.host, '.' || k.host)) AND starts_with(p.path, k.path)
   GROUP BY p.r),
 hit AS (
-  SELECT DISTINCT p.r FROM p JOIN (SELECT unnest([{_LISTED}]) AS key) l ON p.host = l.key OR ends_with(p.host, '.' || l.key))
+  SELECT DISTINCT r FROM (SELECT r, array_to_string(list_slice(x, i, len(x)), '.') AS key FROM (SELECT r, string_split(host, '.') AS x, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> ''))
+  WHERE key IN (SELECT a || '-' || b || n || '.' || t FROM {_LISTED}))
 SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN hit.r IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM p LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)
 """

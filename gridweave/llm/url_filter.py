@@ -3,7 +3,7 @@
 Method.  A listed key is a domain; it covers the host itself and every
 subdomain, so a host is judged by the set of its dot suffixes.  The cascade
 (levels L0, L1, ...) is built against the corpus's complete key universe, that
-is every suffix of every host in the table:
+is every suffix of every host in the table (of no more labels than a key has):
 
 * L0 encodes the listed keys; the universe keys outside the list that L0
   accepts are its false positives;
@@ -22,7 +22,9 @@ Defined cases: a null URL or one without ``://`` has an empty host and path,
 fits no rule and is allowed unless the empty key is listed (it cannot be).  Ties
 between rules cannot occur (the longest of host + path wins; equal lengths are
 settled by list order).  An empty table or list gives no blocks.  Repeated rows
-are judged one by one; other columns are ignored.
+are judged one by one; very long URLs and hosts of very many labels are judged
+whole, in time linear in their length, since only as many labels are asked for as
+the longest key has; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
@@ -45,8 +47,22 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: The default blocklist: these names under each of the suffixes.
-LISTED = tuple(f"{name}.example.{top}" for name in ("cheap-pills", "spam-farm", "casino-win") for top in ("com", "net", "org"))
+#: The default blocklist: every first word, a hyphen, every last word, a number
+#: from 1 to 9 or none, under each of the suffixes (106,200 names).
+FIRST = (
+    "adult bad bargain best bet big bonus bulk buy cash casino cheap click cool coupon crypto daily deal discount easy extra fake fast free fun gold great hot instant jackpot "
+    "junk keno link lotto lucky luxury mega mobile money new online palace poker power prize quick real rich royal secret sexy shady spam super top traffic true ultra vegas").split()
+LAST = (
+    "ads bargains bets bingo bonus buys cams cash casino chat click clicks club coins credit dates deals diet direct downloads farm games gifts girls hub jackpot links list loans lotto "
+    "mail market meds money news offers outlet pills play poker portal prizes promo rewards rx sales seo shop slots spins spot store system tickets traders traffic videos win x zone").split()
+SUFFIXES = ("example.com", "example.net", "example.org")
+
+
+def default_list(spark: SparkSession) -> DataFrame:
+    """The default blocklist as a table of keys."""
+    each = lambda xs: F.explode(F.array(*map(F.lit, xs)))
+    rows = spark.range(1).select(each(FIRST).alias("a")).select("a", each(LAST).alias("b")).select("a", "b", each(("", *map(str, range(1, 10)))).alias("n"))
+    return rows.select("a", "b", "n", each(SUFFIXES).alias("t")).select(F.concat("a", F.lit("-"), "b", "n", F.lit("."), "t").alias("key"))
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -55,12 +71,13 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(host), path
 
 
-def suffixes(host: Column) -> Column:
-    """Every domain suffix of a host: a.b.c -> [a.b.c, b.c, c]; none for ''."""
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
+def suffixes(host: Column, depth: int) -> Column:
+    """The domain suffixes of a host of ``depth`` labels at most: a.b.c ->
+    [a.b.c, b.c, c]; none for ''."""
+    last = F.split(F.substring_index(host, ".", -depth), r"\.")
+    n = F.size(last)
     return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
+        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(last, i, n - i + 1), "."))
     )
 
 
@@ -158,19 +175,27 @@ class Cascade:
         return levels
 
 
-def judge(pages: DataFrame, listed: DataFrame | Sequence[str] = LISTED, rules: Sequence[tuple[str, str, str]] = RULES, max_words: int = 65536) -> DataFrame:
-    """page_id, url, host, path, rule, listed, verdict for each row of ``pages``."""
+def judge(pages: DataFrame, listed: DataFrame | Sequence[str] | None = None, rules: Sequence[tuple[str, str, str]] = RULES, max_words: int = 65536) -> DataFrame:
+    """page_id, url, host, path, rule, listed, verdict for each row of ``pages``.
+
+    ``listed`` (keys, or a table with a column ``key``) defaults to
+    ``default_list``.
+    """
     spark = pages.sparkSession
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    universe = rows.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
-    if not isinstance(listed, DataFrame):
+    if listed is None:
+        listed = default_list(spark)
+    elif not isinstance(listed, DataFrame):
         listed = spark.range(1).select(F.explode(F.array(*map(F.lit, listed)).cast("array<string>")).alias("key"))
+    # no suffix of more labels than the longest key can be listed
+    depth = listed.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1
+    universe = rows.select("host").distinct().select(F.explode(suffixes(F.col("host"), depth)).alias("key"))
     cascade = Cascade.build(listed, universe, max_words)
     rule = verdict = F.lit(None).cast("string")
     for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest last, so that it is asked first
         fits = ((F.col("host") == h) | F.endswith(F.col("host"), F.lit("." + h))) & F.startswith(F.col("path"), F.lit(p))
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, kind).otherwise(verdict)
-    hit = F.exists(suffixes(F.col("host")), cascade.contains)
+    hit = F.exists(suffixes(F.col("host"), depth), cascade.contains)
     rows = rows.withColumns({"rule": rule, "listed": hit})
     return rows.withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
