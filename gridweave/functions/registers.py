@@ -6,13 +6,21 @@ semantics are offered: reinterpreting bits has no column form.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lanes import lanewise
+
+
+def addsub_lane(x: Column, y: Column, lane: Column) -> Column:
+    return F.when(lane % 2 == 0, x - y).otherwise(x + y)
+
 
 def addsub(a: Column, b: Column) -> Column:
     """Even lanes subtract, odd lanes add."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, k: F.when(k % 2 == 0, x["a"] - x["b"]).otherwise(x["a"] + x["b"]))
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda x, k: addsub_lane(x["a"], x["b"], k))
 
 
 def _horizontal(a: Column, b: Column, n: int, half: int, sign: int) -> Column:
@@ -44,13 +52,15 @@ def dot(a: Column, b: Column, selector: int, n: int = 8, half: int = 4) -> Colum
     return F.array(*out)
 
 
-def least_of(a: Column, b: Column) -> Column:
-    """a < b ? a : b, so b where either is NaN."""
-    return F.zip_with(a, b, lambda x, y: F.when((x < y) & ~F.isnan(y), x).otherwise(y))
+@lanewise
+def least_of(x: Column, y: Column) -> Column:
+    """x < y ? x : y, so y where either is NaN."""
+    return F.when((x < y) & ~F.isnan(y), x).otherwise(y)
 
 
-def greatest_of(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.when((x > y) & ~F.isnan(x), x).otherwise(y))
+@lanewise
+def greatest_of(x: Column, y: Column) -> Column:
+    return F.when((x > y) & ~F.isnan(x), x).otherwise(y)
 
 
 def bits(a: Column, b: Column, op: str) -> Column:
@@ -59,9 +69,10 @@ def bits(a: Column, b: Column, op: str) -> Column:
     return F.zip_with(a, b, f)
 
 
-def blend(a: Column, b: Column, mask: Column) -> Column:
-    """b where the mask holds, else a."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), mask.alias("m")), lambda x: F.when(x["m"], x["b"]).otherwise(x["a"]))
+@lanewise
+def blend(x: Column, y: Column, mask: Column) -> Column:
+    """y where the mask holds, else x."""
+    return F.when(mask, y).otherwise(x)
 
 
 def rounded(a: Column, mode: str = "nearest") -> Column:
@@ -80,12 +91,15 @@ def reciprocal_sqrt(a: Column) -> Column:
 
 def compare(a: Column, b: Column, predicate: str) -> Column:
     """eq, lt, le, neq, nlt, nle, ord or unord; the n-forms hold on NaN."""
+    return F.zip_with(a, b, compare_lane(predicate))
+
+
+def compare_lane(predicate: str) -> Callable[[Column, Column], Column]:
     either = lambda x, y: F.isnan(x) | F.isnan(y)
-    f = {
+    return {
         "eq": lambda x, y: (x == y) & ~either(x, y), "lt": lambda x, y: (x < y) & ~either(x, y), "le": lambda x, y: (x <= y) & ~either(x, y), "unord": either,
         "neq": lambda x, y: (x != y) | either(x, y), "nlt": lambda x, y: ~(x < y) | either(x, y), "nle": lambda x, y: ~(x <= y) | either(x, y), "ord": lambda x, y: ~either(x, y),
     }[predicate]
-    return F.zip_with(a, b, f)
 
 
 def test(a: Column, b: Column, kind: str) -> Column:
@@ -95,11 +109,13 @@ def test(a: Column, b: Column, kind: str) -> Column:
     return {"z": z, "c": c, "nzc": ~z & ~c}[kind]
 
 
+def convert_lane(x: Column, to: str, truncate: bool = False) -> Column:
+    return F.rint(x).cast("int") if to == "int" and not truncate else x.cast(to)
+
+
 def convert(a: Column, to: str, truncate: bool = False) -> Column:
     """Lane type conversion; to int it rounds half to even or truncates."""
-    if to == "int" and not truncate:
-        return F.transform(a, lambda x: F.rint(x).cast("int"))
-    return F.transform(a, lambda x: x.cast(to))
+    return F.transform(a, lambda x: convert_lane(x, to, truncate))
 
 
 def filled(v: Column, n: int, kind: str = "float") -> Column:

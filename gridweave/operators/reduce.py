@@ -11,10 +11,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def sum_physical_partitions(df: DataFrame, value: str = "v") -> DataFrame:
-    """(part, total): a row for each physical partition; empty ones give 0."""
+    """(part, total): a row for each physical partition; empty ones give 0.
+    Whole numbers are summed as such, others as doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -23,9 +25,10 @@ def sum_physical_partitions(df: DataFrame, value: str = "v") -> DataFrame:
         total = 0
         for b in batches:
             total += pc.sum(b.column(0)).as_py() or 0
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "total": [total]}, schema=pa.schema([("part", pa.int32()), ("total", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "total": [total]}, schema=pa.schema([("part", pa.int32()), ("total", pa.int64() if kind == "long" else pa.float64())]))
 
-    return df.select(F.col(value).cast("long").alias("v")).mapInArrow(run, "part int, total long")
+    kind = "long" if isinstance(df.schema[value].dataType, IntegralType) else "double"
+    return df.select(F.col(value).cast(kind).alias("v")).mapInArrow(run, f"part int, total {kind}")
 
 
 def sum_partitions(df: DataFrame, part: Column, n: int, value: Column) -> DataFrame:
@@ -60,6 +63,21 @@ def sum_tree(df: DataFrame, fan_in: int = 2, idx: str = "idx", value: str = "x",
     return df.groupBy(F.floor(F.col(idx) / width).cast("long").alias("g")).agg(F.sum(F.col(value).cast("double")).alias("total"))
 
 
+def tree_levels(parts: DataFrame, groups: int) -> DataFrame:
+    """(level, slot, total): how the partials (g, total) of ``groups`` workers, a
+    power of two, merge in a tree.  At each level the upper half of the slots is
+    added to the lower one, so slot i of level l sums the partials with
+    g % (groups >> l) = i; a slot without partials is 0."""
+    if groups < 1 or groups & (groups - 1):
+        raise ValueError("the number of workers must be a power of two")
+    height = groups.bit_length() - 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(height))).alias("level")
+    slot = F.col("g") % F.call_function("shiftright", F.lit(groups), F.col("level"))
+    sums = parts.select("g", "total", levels).groupBy("level", slot.cast("int").alias("slot")).agg(F.sum("total").alias("total"))
+    slots = parts.sparkSession.range(1).select(levels).select("level", F.explode(F.sequence(F.lit(0), F.call_function("shiftright", F.lit(groups), F.col("level")) - 1)).alias("slot"))
+    return slots.join(sums, ["level", "slot"], "left").select("level", "slot", F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
 def relative_error(parts: DataFrame, whole: DataFrame, value: str = "x") -> float:
     """|sum of partials - sum of rows| / |sum of rows|; two numbers reach the driver."""
     a = parts.agg(F.sum("total")).first()[0] or 0.0

@@ -99,25 +99,25 @@ _POINTS = "p AS (SELECT c_custkey AS id, (c_custkey % 64) * 0.041015625::DOUBLE
 
 @query(f"""WITH RECURSIVE {_POINTS}, z(id, re, im, x, y, n) AS (
   SELECT id, re, im, re, im, 0 FROM p
-  UNION ALL SELECT id, re, im, x * x - y * y + re, 2 * x * y + im, n + 1 FROM z WHERE n < 64 AND x * x + y * y < 4)
+  UNION ALL SELECT id, re, im, x * x - y * y + re, 2 * x * y + im, n + 1 FROM z WHERE n < 511 AND x * x + y * y < 4)
 SELECT id, max(n)::INTEGER AS n FROM z GROUP BY id""")
 def escape_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select("id", escape.escape_time(F.col("re"), F.col("im"), 1, 64).alias("n"))
+    return points(spark, sf_dir).select("id", escape.escape_time(F.col("re"), F.col("im"), 1, 511).alias("n"))
 
 
 _ESCAPE2 = f"""WITH RECURSIVE {_POINTS}, z(id, re, im, x, y, n) AS (
   SELECT id, re::FLOAT, im::FLOAT, 0::FLOAT, 0::FLOAT, 0 FROM p
-  UNION ALL SELECT id, re, im, x * x - y * y + re, x * y + x * y + im, n + 1 FROM z WHERE n < 63 AND NOT (x::DOUBLE * x::DOUBLE + y::DOUBLE * y::DOUBLE > 4))"""
+  UNION ALL SELECT id, re, im, x * x - y * y + re, x * y + x * y + im, n + 1 FROM z WHERE n < 1023 AND NOT (x::DOUBLE * x::DOUBLE + y::DOUBLE * y::DOUBLE > 4))"""
 
 
 @query(f"{_ESCAPE2} SELECT id, max(n)::INTEGER AS n FROM z GROUP BY id")
 def escape_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).select("id", escape.escape_time(F.col("re"), F.col("im"), 2, 64).alias("n"))
+    return points(spark, sf_dir).select("id", escape.escape_time(F.col("re"), F.col("im"), 2, 1024).alias("n"))
 
 
 @query(f"{_ESCAPE2}, e AS (SELECT id, max(n) AS n FROM z GROUP BY id) SELECT count(*) AS points, sum(n)::BIGINT AS iterations, round(max(ln(n + 1)), 9) AS brightest FROM e")
 def escape_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = points(spark, sf_dir).select(escape.escape_time(F.col("re"), F.col("im"), 2, 64).alias("n"))
+    n = points(spark, sf_dir).select(escape.escape_time(F.col("re"), F.col("im"), 2, 1024).alias("n"))
     return n.agg(F.count("*").alias("points"), F.sum("n").alias("iterations"), F.round(F.max(S.log_intensity(F.col("n"))), 9).alias("brightest"))
 
 
@@ -130,36 +130,48 @@ ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 _IDX = f"v AS (SELECT row_number() OVER (ORDER BY {', '.join(ORDER)}, l_quantity) - 1 AS idx, l_quantity AS x FROM lineitem)"
 
 
-def vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = index.index_by(table(spark, sf_dir, "lineitem").select(*ORDER, "l_quantity"), *ORDER, "l_quantity")  # the last key settles ties
-    return rows.select("idx", F.col("l_quantity").alias("x"))
+def vector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(idx, x) and how many rows."""
+    rows, n = index.counted_by(table(spark, sf_dir, "lineitem").select(*ORDER, "l_quantity"), *ORDER, "l_quantity")  # the last key settles ties
+    return rows.select("idx", F.col("l_quantity").alias("x")), n
 
 
 @query(f"WITH {_IDX} SELECT (idx % 64)::INTEGER AS g, round(sum(x), 2) AS total FROM v GROUP BY ALL")
 def strided_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce.sum_strided(vector(spark, sf_dir), 64).withColumn("total", F.round("total", 2))
+    return reduce.sum_strided(vector(spark, sf_dir)[0], 64).withColumn("total", F.round("total", 2))
 
 
 @query(f"WITH {_IDX}, n AS (SELECT ceil(count(*) / 64)::BIGINT AS k FROM v) SELECT (idx // k)::INTEGER AS g, round(sum(x), 2) AS total FROM v, n GROUP BY ALL")
 def blocked_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vector(spark, sf_dir)
-    return reduce.sum_blocked(rows, 64, rows.count()).withColumn("total", F.round("total", 2))
+    rows, n = vector(spark, sf_dir)
+    return reduce.sum_blocked(rows, 64, n).withColumn("total", F.round("total", 2))
 
 
-@query("SELECT 0::BIGINT AS g, round(sum(l_quantity), 2) AS total FROM lineitem HAVING count(*) > 0")
+@query("""WITH p AS (SELECT l_orderkey % 64 AS g, sum(l_quantity) AS total FROM lineitem GROUP BY 1), t AS (SELECT unnest(range(7)) AS level), s AS (SELECT level, unnest(range(64 >> level)) AS slot FROM t)
+SELECT level::INTEGER AS level, slot::INTEGER AS slot, round(coalesce(sum(total), 0), 2) AS total FROM s LEFT JOIN p ON p.g % (64 >> level) = slot GROUP BY ALL""")
 def tree_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce.sum_tree(vector(spark, sf_dir)).withColumn("total", F.round("total", 2))
-
-
-@query("SELECT part::INTEGER AS part, coalesce(sum(o_custkey), 0)::BIGINT AS total FROM range(12) t(part) LEFT JOIN orders ON o_orderkey % 24 = part * 2 AND part % 3 <> 1 GROUP BY part")
-def partition_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logical partitions, a third of which are empty and give 0."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0 and o_orderkey % 24 % 6 <> 2")
-    return reduce.sum_partitions(rows, F.col("o_orderkey") % 24 / 2, 12, F.col("o_custkey"))
+    """64 workers' sums (orders dealt by key, which needs no sort) and every
+    level of the tree in which they merge."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("idx"), F.col("l_quantity").alias("x"))
+    return reduce.tree_levels(reduce.sum_strided(rows, 64), 64).withColumn("total", F.round("total", 2))
+
+
+@query(f"""WITH {_IDX}, s AS (SELECT idx % 64 AS g, sum(x) AS t FROM v GROUP BY 1), n AS (SELECT ceil(count(*) / 64)::BIGINT AS k FROM v), b AS (SELECT idx // k AS g, sum(x) AS t FROM v, n GROUP BY 1), w AS (SELECT sum(x) AS t FROM v)
+SELECT 'strided' AS kind, abs(sum(s.t) - any_value(w.t)) < 1e-4 * abs(any_value(w.t)) AS close FROM s, w UNION ALL SELECT 'blocked', abs(sum(b.t) - any_value(w.t)) < 1e-4 * abs(any_value(w.t)) FROM b, w""")
+def sum_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are the partials' sums within 1e-4 of the sum of all rows?"""
+    rows, n = vector(spark, sf_dir)
+    whole = rows.agg(F.sum("x").alias("w"))
+    kinds = {"strided": reduce.sum_strided(rows, 64), "blocked": reduce.sum_blocked(rows, 64, n)}
+    out = None
+    for kind, parts in kinds.items():
+        one = parts.agg(F.sum("total").alias("t")).join(F.broadcast(whole)).select(F.lit(kind).alias("kind"), (F.abs(F.col("t") - F.col("w")) < 1e-4 * F.abs("w")).alias("close"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT part::INTEGER AS part, coalesce(sum(o_custkey), 0)::BIGINT AS total FROM range(36) t(part) LEFT JOIN orders ON o_orderkey % 24 = part GROUP BY part")
-def partition_sum_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def partition_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical partitions of all orders; the last third has no keys and gives 0."""
     return reduce.sum_partitions(table(spark, sf_dir, "orders"), F.col("o_orderkey") % 24, 36, F.col("o_custkey"))
 
@@ -199,8 +211,8 @@ def maze(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 @query(f"{_REGIONS} SELECT j AS x, i AS y, coalesce(label, sentinel) AS label FROM pix CROSS JOIN size LEFT JOIN low ON low.id = i::BIGINT * {WIDTH} + j")
 def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels, height = maze(spark, sf_dir)
-    return regions.label_regions(pixels, WIDTH, height).select("x", "y", "label")
+    pixels = image(spark, sf_dir).select(F.col("j").alias("x"), F.col("i").alias("y"), "v")
+    return regions.label_regions(pixels, WIDTH).select("x", "y", "label")
 
 
 @query(f"{_REGIONS} SELECT count(DISTINCT label) AS regions FROM low")
@@ -310,12 +322,6 @@ _LANES = "l AS (SELECT {keys}, [l_quantity::FLOAT, l_extendedprice::FLOAT, l_dis
 _T = "list_transform(range(1, 9), lambda k: {})"
 
 
-def _by_lane(rows: DataFrame, **registers_: Column) -> DataFrame:
-    """(keys, lane, ...): one row for each lane of equally long registers."""
-    zipped = rows.select(*ORDER, F.posexplode(F.arrays_zip(*[c.alias(k) for k, c in registers_.items()])).alias("lane", "l"))
-    return zipped.select(*ORDER, "lane", *[F.col(f"l.{k}").alias(k) for k in registers_])
-
-
 def _by_lane_sql(**registers_: str) -> str:
     cols = ", ".join(f"{v} AS {k}" for k, v in registers_.items())
     out = ", ".join(f"unnest({k}) AS {k}" for k in registers_)
@@ -329,9 +335,12 @@ def _by_lane_sql(**registers_: str) -> str:
     lower=_T.format("CASE WHEN a[k] < b[k] THEN a[k] ELSE 0::FLOAT END"), upper=_T.format("CASE WHEN a[k] > b[k] THEN 0::FLOAT ELSE a[k] END")))
 def lane_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _lanes()
-    return _by_lane(
-        table(spark, sf_dir, "lineitem"), added=lanes.add(a, b), subtracted=lanes.sub(a, b), multiplied=lanes.mul(a, b), divided=lanes.div(a, b), roots=lanes.sqrt(a),
-        fma=lanes.fmadd(a, b, a), fms=lanes.fmsub(a, b, a), lower=lanes.bitwise_and(a, lanes.less_than(a, b)), upper=lanes.bitwise_andnot(lanes.greater_than(a, b), a))
+    rows = lanes.rows(table(spark, sf_dir, "lineitem"), ORDER, a=a, b=b)
+    x, y = F.col("a"), F.col("b")
+    ops = {
+        "added": lanes.add.lane(x, y), "subtracted": lanes.sub.lane(x, y), "multiplied": lanes.mul.lane(x, y), "divided": lanes.div.lane(x, y), "roots": lanes.sqrt.lane(x),
+        "fma": lanes.fmadd.lane(x, y, x), "fms": lanes.fmsub.lane(x, y, x), "lower": lanes.bitwise_and.lane(x, lanes.less_than.lane(x, y)), "upper": lanes.bitwise_andnot.lane(lanes.greater_than.lane(x, y), x)}
+    return rows.select(*ORDER, "lane", *[c.alias(k) for k, c in ops.items()])
 
 
 @query(f"WITH {_LANES} SELECT {', '.join(ORDER)}, list_sum({_T.format('CASE WHEN a[k] - b[k] < 0 THEN 1 << (k - 1) ELSE 0 END')})::INTEGER AS signs FROM z")
@@ -348,10 +357,13 @@ def lane_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     low="[a[1], b[1], a[2], b[2], a[5], b[5], a[6], b[6]]", halves="[b[1], b[2], b[3], b[4], a[1], a[2], a[3], a[4]]", even_lanes="[a[1], a[1], a[3], a[3], a[5], a[5], a[7], a[7]]"))
 def register_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _lanes()
-    return _by_lane(
-        table(spark, sf_dir, "lineitem"), least_of=registers.least_of(a, b), greatest_of=registers.greatest_of(a, b), blended=registers.blend(a, b, registers.compare(a, b, "le")),
-        addsub=registers.addsub(a, b), hadd=registers.hadd(a, b), nearest=registers.convert(a, "int"), truncated=registers.convert(a, "int", True),
-        low=registers.unpack(a, b, False), halves=registers.permute_halves(a, b, 0x02), even_lanes=registers.duplicate(a, False))
+    moved = {"hadd": registers.hadd(a, b), "low": registers.unpack(a, b, False), "halves": registers.permute_halves(a, b, 0x02), "even_lanes": registers.duplicate(a, False)}
+    rows = lanes.rows(table(spark, sf_dir, "lineitem"), ORDER, a=a, b=b, **moved)
+    x, y = F.col("a"), F.col("b")
+    ops = {
+        "least_of": registers.least_of.lane(x, y), "greatest_of": registers.greatest_of.lane(x, y), "blended": registers.blend.lane(x, y, registers.compare_lane("le")(x, y)),
+        "addsub": registers.addsub_lane(x, y, F.col("lane")), "nearest": registers.convert_lane(x, "int"), "truncated": registers.convert_lane(x, "int", True)}
+    return rows.select(*ORDER, "lane", *[c.alias(k) for k, c in ops.items()], *moved)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN sqrt(l_tax * 100)::FLOAT <= 2 THEN sqrt(l_tax * 100)::FLOAT ELSE 0::FLOAT END AS root FROM lineitem")
@@ -383,24 +395,24 @@ def frame_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _axis_sql(name: str, at: int, gain: float, noise: float, push: float) -> str:
-    """One axis of the filter: position, velocity and their covariance."""
+    """One axis of the filter: position, velocity and their covariance.  The last
+    dims may be no whole measurement (then ``ok`` is 0): nothing is corrected."""
     d, c, q, u = (f"{v!r}::DOUBLE" for v in (0.01, gain, noise * noise, push))
     return f"""{name}(id, k, x, v, a, b, e) AS (
   SELECT vec_id, 0, 0::DOUBLE, 0::DOUBLE, 0.01::DOUBLE, 0::DOUBLE, 0.01::DOUBLE FROM m
   UNION ALL SELECT id, k + 1, px + c * pa / s * (z - c * px), pv + c * pb / s * (z - c * px), pa - c * pa / s * c * pa, pb - c * pa / s * c * pb, pe - c * pb / s * c * pb
-  FROM (SELECT id, k, x + {d} * v AS px, v + {u} AS pv, a + 2 * {d} * b + {d} * {d} * e AS pa, b + {d} * e AS pb, e + {q} AS pe, {c} AS c, {c} * {c} * (a + 2 * {d} * b + {d} * {d} * e) + 1 AS s,
-    m.embedding[3 * (k + 1) + {at} + 1]::DOUBLE AS z FROM {name} JOIN m ON m.vec_id = id WHERE k < 20))"""
+  FROM (SELECT *, c * c * pa + 1 AS s FROM (SELECT id, k, x + {d} * v AS px, v + {u} AS pv, a + 2 * {d} * b + {d} * {d} * e AS pa, b + {d} * e AS pb, e + {q} AS pe, {c} * (len(m.embedding) >= 3 * (k + 2))::INTEGER AS c,
+    coalesce(m.embedding[3 * (k + 1) + {at} + 1], 0)::DOUBLE AS z FROM {name} JOIN m ON m.vec_id = id WHERE 3 * (k + 1) < len(m.embedding))))"""
 
 
-@query(f"""WITH RECURSIVE m AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) >= 63),
+@query(f"""WITH RECURSIVE m AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) > 0),
 {_axis_sql('fx', 0, 1.0, 0.25, 0.0)}, {_axis_sql('fy', 1, 5.0, 0.25, 0.0)}, {_axis_sql('fz', 2, 5.0, 0.1, -9.81 * 0.01)}
 SELECT id AS vec_id, k::INTEGER AS k, {', '.join(f'round({c}, 4) + 0.0::DOUBLE AS {n}' for c, n in (('fx.x', 'x'), ('fy.x', 'y'), ('fz.x', 'z'), ('fx.v', 'vx'), ('fy.v', 'vy'), ('fz.v', 'vz')))}
 FROM fx JOIN fy USING (id, k) JOIN fz USING (id, k)""")
 def kalman_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every embedding's dims as a noisy 3-D series of 21 measurements."""
-    at = lambda c: F.expr(f"transform(sequence(0, 20), k -> struct(k as k, embedding[3 * k + {c}] as v))")
-    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null and size(embedding) >= 63").select("vec_id", F.inline(F.arrays_zip(at(0).alias("a"), at(1).alias("b"), at(2).alias("c"))))
-    series = rows.select("vec_id", F.col("a.k").alias("k"), F.col("a.v").alias("mx"), F.col("b.v").alias("my"), F.col("c.v").alias("mz"))
+    """Every embedding's dims as a noisy 3-D series, three dims a measurement."""
+    steps = F.expr("transform(sequence(0, cast(ceil(size(embedding) / 3) as int) - 1), k -> struct(k as k, get(embedding, 3 * k) as mx, get(embedding, 3 * k + 1) as my, get(embedding, 3 * k + 2) as mz))")
+    series = table(spark, sf_dir, "embeddings").where("vec_id is not null and size(embedding) > 0").select("vec_id", F.inline(steps))
     out = track.kalman_track(series, "vec_id", [0.0] * 6)
     return out.select("vec_id", "k", *[(F.round(c, 4) + 0.0).alias(c) for c in ("x", "y", "z", "vx", "vy", "vz")])
 
