@@ -65,8 +65,11 @@ def greatest_of(x: Column, y: Column) -> Column:
 
 def bits(a: Column, b: Column, op: str) -> Column:
     """and, or, xor or andnot of whole-number lanes."""
-    f = {"and": lambda x, y: x.bitwiseAND(y), "or": lambda x, y: x.bitwiseOR(y), "xor": lambda x, y: x.bitwiseXOR(y), "andnot": lambda x, y: F.bitwise_not(x).bitwiseAND(y)}[op]
-    return F.zip_with(a, b, f)
+    return F.zip_with(a, b, bits_lane(op))
+
+
+def bits_lane(op: str) -> Callable[[Column, Column], Column]:
+    return {"and": lambda x, y: x.bitwiseAND(y), "or": lambda x, y: x.bitwiseOR(y), "xor": lambda x, y: x.bitwiseXOR(y), "andnot": lambda x, y: F.bitwise_not(x).bitwiseAND(y)}[op]
 
 
 @lanewise
@@ -77,8 +80,12 @@ def blend(x: Column, y: Column, mask: Column) -> Column:
 
 def rounded(a: Column, mode: str = "nearest") -> Column:
     """nearest (half to even), up, down or zero."""
+    return F.transform(a, rounded_lane(mode))
+
+
+def rounded_lane(mode: str) -> Callable[[Column], Column]:
     f = {"nearest": F.rint, "up": F.ceil, "down": F.floor, "zero": lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))}[mode]
-    return F.transform(a, lambda x: f(x).cast("double"))
+    return lambda x: f(x).cast("double")
 
 
 def reciprocal(a: Column) -> Column:
@@ -122,8 +129,9 @@ def filled(v: Column, n: int, kind: str = "float") -> Column:
     return F.array_repeat(v.cast(kind), n)
 
 
-def masked_load(a: Column, mask: Column) -> Column:
-    return F.zip_with(a, mask, lambda x, m: F.when(m, x).otherwise(F.lit(0).cast("float")))
+@lanewise
+def masked_load(x: Column, mask: Column) -> Column:
+    return F.when(mask, x).otherwise(F.lit(0).cast("float"))
 
 
 def masked_store(old: Column, new: Column, mask: Column) -> Column:

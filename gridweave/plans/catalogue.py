@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import lanes, registers
 from ..functions import scalar as S
 from ..operators import escape, harness, index, moves, neighbor, particles, reduce, regions, track
-from ..sources import arrays
+from ..sources import arrays, generators
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,6 +197,41 @@ def guarded_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moves.guarded_moves(counts, steps)
 
 
+RING, ROUNDS = 1000, 2
+
+
+@query(f"""WITH m AS (SELECT list([event_id % {RING}, (event_id % {RING} + event_id * 7 % 21 - 10 + {RING}) % {RING}]::BIGINT[] ORDER BY event_id) AS steps FROM events WHERE event_id IS NOT NULL),
+r AS (SELECT list_reduce(steps || steps, lambda c, s: CASE WHEN c[s[1] + 1] > 0 AND s[1] <> s[2] THEN c[1:least(s[1], s[2])] || [c[least(s[1], s[2]) + 1] + CASE WHEN s[1] < s[2] THEN -1 ELSE 1 END] || c[least(s[1], s[2]) + 2:greatest(s[1], s[2])] || [c[greatest(s[1], s[2]) + 1] + CASE WHEN s[1] < s[2] THEN 1 ELSE -1 END] || c[greatest(s[1], s[2]) + 2:] ELSE c END, range({RING})) AS c FROM m)
+SELECT 0::BIGINT AS grp, unnest(range({RING}))::INTEGER AS cell, unnest(c)::BIGINT AS n FROM r""")
+def ring_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, in order and twice, as one sequence of moves to a cell nearby
+    on a ring of 1,000 cells that start with their number."""
+    e = F.col("event_id")
+    steps = table(spark, sf_dir, "events").where("event_id is not null").select(e.alias("seq"), (e % RING).cast("int").alias("src"), S.wrap(e % RING + e * 7 % 21 - 10, RING).cast("int").alias("dest"))
+    return moves.guarded_moves(generators.counters(spark, RING), steps, repeat=ROUNDS)
+
+
+@query(f"SELECT ({RING} * ({RING} - 1) // 2)::BIGINT AS total, true AS conserved, 0::BIGINT AS below_zero")
+def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves keep the sum of all counters, and no counter falls below zero."""
+    out = ring_moves(spark, sf_dir)
+    total = F.sum("n")
+    return out.agg(total.alias("total"), (total == RING * (RING - 1) // 2).alias("conserved"), F.count_if(F.col("n") < 0).alias("below_zero"))
+
+
+@query("SELECT i::INTEGER AS i, j::INTEGER AS j, round((-0.575 - 0.00125 + j * (0.0025 / 63))::DOUBLE, 5) AS re, round((-0.575 - 0.00125 + i * (0.0025 / 63))::DOUBLE, 5) AS im FROM range(64) a(i), range(64) b(j)")
+def coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's window of the plane, in 64 x 64 points."""
+    out = generators.coords(spark, count=64)
+    return out.select("i", "j", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("re", "im")])
+
+
+@query()
+def exact_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step with collisions in the order of ids."""
+    return particles.exact_step(balls(spark, sf_dir), RADIUS, 0.01)
+
+
 WIDTH = 64
 _REGIONS = f"""WITH RECURSIVE {_PIX}, fg AS (SELECT i::BIGINT * {WIDTH} + j AS id, i, j FROM pix WHERE v > 0),
 e AS (SELECT a.id AS a, b.id AS b FROM fg a JOIN fg b ON (a.i = b.i AND abs(a.j - b.j) = 1) OR (a.j = b.j AND abs(a.i - b.i) = 1)),
@@ -314,8 +349,8 @@ def location_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lanes() -> tuple[Column, Column]:
-    a = F.array(*[F.col(c).cast("float") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey")])
-    return a, F.reverse(a)
+    a = [F.col(c).cast("float") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey")]
+    return F.array(*a), F.array(*reversed(a))
 
 
 _LANES = "l AS (SELECT {keys}, [l_quantity::FLOAT, l_extendedprice::FLOAT, l_discount::FLOAT, l_tax::FLOAT, l_linenumber::FLOAT, l_partkey::FLOAT, l_suppkey::FLOAT, l_orderkey::FLOAT] AS a FROM lineitem), z AS (SELECT *, list_reverse(a) AS b FROM l)".format(keys=", ".join(ORDER))
@@ -346,7 +381,7 @@ def lane_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LANES} SELECT {', '.join(ORDER)}, list_sum({_T.format('CASE WHEN a[k] - b[k] < 0 THEN 1 << (k - 1) ELSE 0 END')})::INTEGER AS signs FROM z")
 def lane_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _lanes()
-    return table(spark, sf_dir, "lineitem").select(*ORDER, lanes.signs(lanes.sub(a, b)).alias("signs"))
+    return table(spark, sf_dir, "lineitem").select(*ORDER, lanes.signs(F.array(*[lanes.sub.lane(a[k], b[k]) for k in range(lanes.LANES)])).alias("signs"))
 
 
 @query(_by_lane_sql(
@@ -366,6 +401,45 @@ def register_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*ORDER, "lane", *[c.alias(k) for k, c in ops.items()], *moved)
 
 
+@query(_by_lane_sql(
+    splat=_T.format("2.5::FLOAT"), made="[l_orderkey::FLOAT, l_suppkey::FLOAT, l_partkey::FLOAT, l_linenumber::FLOAT, l_tax::FLOAT, l_discount::FLOAT, l_extendedprice::FLOAT, l_quantity::FLOAT]",
+    hsub="[a[1] - a[2], a[3] - a[4], b[1] - b[2], b[3] - b[4], a[5] - a[6], a[7] - a[8], b[5] - b[6], b[7] - b[8]]",
+    loaded=_T.format("CASE WHEN a[k] < b[k] THEN a[k] ELSE 0::FLOAT END"), stored=_T.format("CASE WHEN a[k] < b[k] THEN b[k] ELSE a[k] END"),
+    inserted="[a[1], a[2], a[3], a[4], b[1], b[2], b[3], b[4]]", picked="[a[8], a[1], a[1], a[2], a[3], a[5], a[8], a[6]]",
+    up=_T.format("ceil(a[k]::DOUBLE)"), down=_T.format("floor(a[k]::DOUBLE)"), even=_T.format("round_even(a[k]::DOUBLE, 0)"), chopped=_T.format("trunc(a[k]::DOUBLE)"),
+    unequal=_T.format("a[k] <> b[k]"), not_less=_T.format("NOT a[k] < b[k]"), and_bits=_T.format("trunc(a[k]::DOUBLE)::BIGINT & trunc(b[k]::DOUBLE)::BIGINT"), or_bits=_T.format("trunc(a[k]::DOUBLE)::BIGINT | trunc(b[k]::DOUBLE)::BIGINT"), xor_bits=_T.format("xor(trunc(a[k]::DOUBLE)::BIGINT, trunc(b[k]::DOUBLE)::BIGINT)"), andnot_bits=_T.format("~(trunc(a[k]::DOUBLE)::BIGINT) & trunc(b[k]::DOUBLE)::BIGINT")).replace("FROM lineitem)", ", l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)", 1))
+def register_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads, stores, rounding, comparison, bits and moves of whole registers."""
+    a, b = _lanes()
+    high_first = [F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey", "l_orderkey")]
+    moved = {
+        "splat": lanes.splat(F.lit(2.5)), "made": lanes.make(*high_first), "hsub": registers.hsub(a, b), "inserted": registers.insert_half(a, registers.extract_half(b, 0), 1),
+        "picked": registers.permute(a, F.array(*map(F.lit, (7, 0, 0, 1, 2, 4, 7, 5))))}
+    rows = lanes.rows(table(spark, sf_dir, "lineitem"), ORDER, a=a, b=b, **moved)
+    x, y, low = F.col("a"), F.col("b"), lanes.less_than.lane(F.col("a"), F.col("b"))
+    i, j = x.cast("long"), y.cast("long")
+    ops = {
+        "loaded": registers.masked_load.lane(x, low), "stored": registers.blend.lane(x, y, low), "up": registers.rounded_lane("up")(x), "down": registers.rounded_lane("down")(x), "even": registers.rounded_lane("nearest")(x), "chopped": registers.rounded_lane("zero")(x),
+        "unequal": registers.compare_lane("neq")(x, y), "not_less": registers.compare_lane("nlt")(x, y), "and_bits": registers.bits_lane("and")(i, j), "or_bits": registers.bits_lane("or")(i, j), "xor_bits": registers.bits_lane("xor")(i, j), "andnot_bits": registers.bits_lane("andnot")(i, j)}
+    return rows.select(*ORDER, "lane", *[c.alias(k) for k, c in ops.items()], *moved)
+
+
+def _any(lane: str) -> str:
+    return f"list_contains({_T.format(lane)}, true)"
+
+
+@query(f"""WITH {_LANES}, m AS (SELECT *, {_T.format('a[k] < 5')} AS p, {_T.format('b[k] < 50')} AS q FROM z)
+SELECT {', '.join(ORDER)}, (a[1] * b[1] + a[2] * b[2])::DOUBLE AS dot, NOT {_any('p[k] AND q[k]')} AS z, NOT {_any('NOT p[k] AND q[k]')} AS c,
+  {_any('p[k] AND q[k]')} AND {_any('NOT p[k] AND q[k]')} AS nzc, round(1.0::DOUBLE / nullif(b[1], 0), 9) AS rcp, round(1.0::DOUBLE / sqrt(nullif(b[1], 0)::DOUBLE), 9) AS rsqrt FROM m""")
+def register_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result a register: dot products, whole-vector tests, reciprocals."""
+    a, b = _lanes()
+    p, q = F.array(*[a[k] < 5 for k in range(8)]), F.array(*[b[k] < 50 for k in range(8)])
+    dot = registers.dot(a, b, 0x31)[0].cast("double")
+    one = lambda f: F.round(f(F.array(b[0].cast("double")))[0], 9)
+    return table(spark, sf_dir, "lineitem").select(*ORDER, dot.alias("dot"), *[registers.test(p, q, k).alias(k) for k in ("z", "c", "nzc")], one(registers.reciprocal).alias("rcp"), one(registers.reciprocal_sqrt).alias("rsqrt"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN sqrt(l_tax * 100)::FLOAT <= 2 THEN sqrt(l_tax * 100)::FLOAT ELSE 0::FLOAT END AS root FROM lineitem")
 def masked_sqrt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*ORDER, S.masked_sqrt(F.col("l_tax") * 100).alias("root"))
