@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .graph import components
+from .graph import components, hook
 
 
 def foreground(v: Column) -> Column:
@@ -39,9 +39,7 @@ def _steps(connectivity: int) -> list[tuple[int, int]]:
 
 
 def _label_tile(part: pd.DataFrame, steps: list[tuple[int, int]]) -> pd.DataFrame:
-    """The smallest label of each region of one tile.  Labels hook to smaller
-    ones over links and are shortened, for all links at once, until none
-    changes."""
+    """The smallest label of each region of one tile."""
     label = part["label"].to_numpy().copy()
     at = np.flatnonzero(label >= 0)
     x, y = part["x"].to_numpy()[at], part["y"].to_numpy()[at]
@@ -54,17 +52,7 @@ def _label_tile(part: pd.DataFrame, steps: list[tuple[int, int]]) -> pd.DataFram
     grid[y, x] = np.arange(len(at))
     a, b = (np.concatenate(c) for c in zip(*((np.arange(len(at)), grid[y + dy, x + dx]) for dx, dy in steps)))
     a, b = a[b >= 0], b[b >= 0]
-    up = np.arange(len(at))
-    while True:
-        low = np.minimum(up[a], up[b])
-        new = up.copy()
-        np.minimum.at(new, up[a], low)
-        np.minimum.at(new, up[b], low)
-        while not np.array_equal(new, shorter := new[new]):
-            new = shorter
-        if np.array_equal(new, up):
-            break
-        up = new
+    up = hook(a, b, len(at))
     label[at[order]] = label[at][order][up]
     return part.assign(label=label)
 

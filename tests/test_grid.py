@@ -143,3 +143,24 @@ def test_best_and_scatter_settle_ties(spark):
     assert tuple(reduce.best(t).first()) == ("a", 9, 2.0)
     p = spark.createDataFrame([(0, 5, 1), (0, 7, 1), (0, 9, 0)], "c int, id int, o int")
     assert [tuple(r) for r in reduce.scatter(p, ["c"], "id", "o").collect()] == [(0, 7)]
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    import random
+
+    from gridweave.operators import graph
+
+    rng = random.Random(4)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)] + [(None, 1)]
+    df = spark.createDataFrame(links, "a long, b long")
+    few = {tuple(r) for r in graph.components(df).collect()}
+    monkeypatch.setattr(graph, "FEW", 10)
+    assert {tuple(r) for r in graph.components(df).collect()} == few and (1100, 1000) in few
+    assert graph.components(df.limit(0)).count() == 0
+
+
+def test_null_and_nan_pixels_are_background(spark):
+    from gridweave.operators import regions
+
+    df = spark.createDataFrame([(0, 0, 1.0), (1, 0, None), (2, 0, float("nan")), (3, 0, 2.0), (0, 1, 1.0)], "x int, y int, v double")
+    assert {(r["x"], r["y"]): r["label"] for r in regions.label_regions(df, 4).collect()} == {(0, 0): 0, (1, 0): 8, (2, 0): 8, (3, 0): 3, (0, 1): 0}
