@@ -97,7 +97,8 @@ def sets(text: Column, words_per_shingle: int) -> Column:
 def _checked(pairs: DataFrame, whole: DataFrame, jaccard: float) -> DataFrame:
     """The ``pairs`` (a, b) whose sets in ``whole`` (fp, s) are similar enough."""
     pairs = cut(pairs.repartition("a", "b"))  # by pair: a hot key's are in few partitions
-    met = cut(whole.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp"))
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    met = cut(whole.join(wanted, "fp"))
     hashes = met.agg(F.coalesce(F.sum(F.size("s")), F.lit(0))).first()[0]
     met = F.broadcast(met) if hashes <= BROADCAST_HASHES else met
     side = lambda c: met.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}"))
