@@ -119,7 +119,7 @@ def bitwise_andnot(mask: Column, v: Column) -> Column:
 
 def negative(x: Column) -> Column:
     """Is the sign set?  -0.0 included; NaN counts as positive."""
-    return (x < 0) | ((x == 0) & (F.atan2(x, F.lit(-1.0)) < 0))
+    return (x < 0) | ((x == 0) & F.startswith(x.cast("string"), F.lit("-")))  # only zeros are written out
 
 
 def signs(v: Column, n: int = LANES) -> Column:
