@@ -15,8 +15,9 @@ and judged by the nearest.
 
 Defined cases: null and empty texts have no words and so fail the base rule; a
 language without rows has no reference and is skipped; with no reference at all
-only the base rule judges; repeated rows are judged one by one; an empty table
-gives no rows.
+only the base rule judges; repeated rows are judged one by one; very long texts
+are counted whole, in a worker's memory; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few_rows_a_batch
 
 #: Common words by language.
 COMMON = {
@@ -170,7 +171,7 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
 
 def judge(docs: DataFrame, max_class_distance: float = 0.25, class_slack: float = 1.0, max_word_distance: float = 0.22, word_slack: float = 1.0, min_chars: int = 200, min_words: int = 50) -> DataFrame:
     """doc_id, lang, the base counts, both distances, base_failed and kept."""
-    rows = cut(docs.select("doc_id", "lang", count_texts(F.col("text")).alias("c")))
+    rows = cut(few_rows_a_batch(docs).select("doc_id", "lang", count_texts(F.col("text")).alias("c")))
     refs = references(rows)
     n, repeated = F.col("c.n_words"), F.col("c.n_repeat_words")
     out = rows.withColumn("d", distances(F.col("lang"), F.col("c"), refs))

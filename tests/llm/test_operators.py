@@ -573,6 +573,34 @@ def test_gam_held_out_accuracy(spark):
     assert len(got) > 50 and (got["predicted"] == got["quality"]).mean() > 0.97
 
 
+def test_scores_equal_table_sums_by_hand(spark):
+    """Every score of real documents, looked up table by table."""
+    import bisect
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    df, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality_gam.train(df, labels)
+    assert m.pairs and max(abs(t).max() for t in m.pair_tables) > 0
+    for r in quality_gam.score(df, m).collect():
+        x = quality_gam.features(r["text"])
+        at = [bisect.bisect_right(e.tolist(), v) for e, v in zip(m.edges, x)]
+        raw = m.intercept + sum(t[k] for t, k in zip(m.tables, at)) + sum(t[at[i]][at[j]] for (i, j), t in zip(m.pairs, m.pair_tables))
+        want = 1 / (1 + math.exp(-raw))
+        assert r["score"] == pytest.approx(want, abs=1e-12) and r["predicted"] == (want >= 0.5)
+
+
+def test_learning_leaves_out_the_held_out_third(spark):
+    import zlib
+
+    df = docs(spark, ["good words in a row, all fine"] * 60)
+    labels = spark.createDataFrame([(k, int(zlib.crc32(str(k).encode()) % 3 != 1), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    m = quality_gam.train(df, labels)  # all that may be learnt is of class 1
+    assert not m.tables and m.intercept > 3
+    held = {r["doc_id"]: r["h"] for r in df.select("doc_id", quality_gam.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert held == {k: zlib.crc32(str(k).encode()) % 3 == 1 for k in range(60)}
+
+
 def test_gam_odd_cases(spark):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (None, 1, 0), (5, None, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality_gam.score(odd(spark), quality_gam.train(odd(spark), labels))

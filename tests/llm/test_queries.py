@@ -44,3 +44,31 @@ def test_pipeline_stages(spark):
     assert secrets.scan(out).where("size(assign) + size(access) + size(hex) + size(markov) > 0").count() == 0
     whole = out.where("taken = tokens and epoch = 0").select("doc_id", "text")
     assert whole.count() > 0 and simhash.near_duplicates(whole).select("component_id").distinct().count() >= 0.95 * whole.count()
+
+
+def test_pipeline_odd_cases(spark, tmp_path):
+    """Nulls, empty and blank texts, ties, repeated rows, a long text, clashing
+    names, and empty tables, through all stages."""
+    from pyspark.sql import functions as F
+
+    sf = str(tmp_path)
+    real = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = "A sentence of quiet words that goes on, one after the other, for as long as it has to. " * 4000
+    odd = [(None, None, None, None, None), (None, "", "en", "a", 0), (-1, " \n\t ", "xx", "", 3), (-2, long, "en", "a", len(long)), (-2, long, "en", "a", len(long)), (-3, "one", "en", None, 3), (-3, "two", "en", None, 3)]
+    clash = {c: F.lit("own") for c in ("id", "_id", "t", "fp", "leak", "row", "new", "score", "full", "h", "n")}
+    docs = real.unionByName(spark.createDataFrame(odd, real.schema)).withColumns(clash)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{sf}/{name}.parquet")
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, sf).write.parquet(f"{sf}/out{k}")
+        new = spark.read.parquet(f"{sf}/out{k}")
+        assert new.columns[: len(docs.columns)] == docs.columns
+        assert new.where(" or ".join(f"{c} <> 'own'" for c in clash)).count() == 0
+        assert new.groupBy("doc_id", "text").count().where("count > 1").count() == 0 or k in (0, 4)
+        now = new
+    assert now.count() > 0 and now.where("n_chars <> length(text)").count() == 0
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
