@@ -25,7 +25,7 @@ from gridweave.llm.queries import MIX, source_group
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier, learnt from this corpus's labels, rejects."""
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
-    return quality_gam.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality_gam.accepted(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
