@@ -84,7 +84,121 @@ class Model:
                 out += t[b[:, i], b[:, j]]
         return out
 
-    def _scores(model: Model) -> Column:
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.raw(x), -40, 40)))
+
+
+def _gain(g: np.ndarray, h: np.ndarray, l2: float) -> np.ndarray:
+    return g * g / (h + l2)
+
+
+def _tree(g: np.ndarray, h: np.ndarray, leaves: int, l2: float) -> np.ndarray:
+    """The step of a tree with so many leaves over ordered bins."""
+    cuts = [0, len(g)]
+    cg, ch = np.concatenate(([0.0], np.cumsum(g))), np.concatenate(([0.0], np.cumsum(h)))
+    for _ in range(leaves - 1):
+        best, at = 1e-12, None
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a < 2:
+                continue
+            k = np.arange(a + 1, b)
+            gain = _gain(cg[k] - cg[a], ch[k] - ch[a], l2) + _gain(cg[b] - cg[k], ch[b] - ch[k], l2) - _gain(cg[b] - cg[a], ch[b] - ch[a], l2)
+            i = int(np.argmax(gain))
+            if gain[i] > best:
+                best, at = gain[i], int(k[i])
+        if at is None:
+            break
+        cuts = sorted([*cuts, at])
+    out = np.zeros(len(g))
+    for a, b in zip(cuts, cuts[1:]):
+        out[a:b] = (cg[b] - cg[a]) / (ch[b] - ch[a] + l2)
+    return out
+
+
+def _quadrants(g: np.ndarray, h: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """The best tree of one cut on each of two features: gain and step."""
+    cg, ch = np.zeros(np.add(g.shape, 1)), np.zeros(np.add(h.shape, 1))
+    cg[1:, 1:], ch[1:, 1:] = g.cumsum(0).cumsum(1), h.cumsum(0).cumsum(1)
+
+    def parts(c: np.ndarray) -> list[np.ndarray]:
+        a = c[1:-1, 1:-1]
+        top, left = c[1:-1, -1:] - a, c[-1:, 1:-1] - a
+        return [a, top, left, c[-1, -1] - a - top - left]
+
+    if min(g.shape) < 2:
+        return 0.0, np.zeros_like(g)
+    gs, hs = parts(cg), parts(ch)
+    gain = sum(_gain(x, y, l2) for x, y in zip(gs, hs)) - _gain(cg[-1, -1], ch[-1, -1], l2)
+    i, j = np.unravel_index(int(np.argmax(gain)), gain.shape)
+    step = [x[i, j] / (y[i, j] + l2) for x, y in zip(gs, hs)]
+    out = np.empty_like(g)
+    out[: i + 1, : j + 1], out[: i + 1, j + 1 :], out[i + 1 :, : j + 1], out[i + 1 :, j + 1 :] = step
+    return float(gain[i, j]), out
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1, leaves: int = 3, max_bins: int = 32, max_pairs: int = 6, pair_rounds: int = 60, l2: float = 1.0) -> Model:
+    """Cyclic boosting of the features' tables, then of the best pairs'."""
+    n = len(y)
+    if not n:
+        return Model()
+    share = (y.sum() + 0.5) / (n + 1)
+    if y.min() == y.max():
+        return Model(math.log(share / (1 - share)))
+    model = Model(math.log(share / (1 - share)))
+    model.edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, max_bins + 1)[1:-1])) for i in range(x.shape[1])]
+    b = model.bins(x)
+    sizes = [len(e) + 1 for e in model.edges]
+    model.tables = [np.zeros(k) for k in sizes]
+    raw = np.full(n, model.intercept)
+
+    def gradients() -> tuple[np.ndarray, np.ndarray]:
+        p = 1 / (1 + np.exp(-raw))
+        return y - p, p * (1 - p)
+
+    for _ in range(rounds):
+        for i, k in enumerate(sizes):
+            g, h = gradients()
+            step = rate * _tree(np.bincount(b[:, i], g, k), np.bincount(b[:, i], h, k), leaves, l2)
+            model.tables[i] += step
+            raw += step[b[:, i]]
+    flat = {(i, j): b[:, i] * sizes[j] + b[:, j] for i, j in combinations(range(len(sizes)), 2)}
+    grid = lambda v, ij: np.bincount(flat[ij], v, sizes[ij[0]] * sizes[ij[1]]).reshape(sizes[ij[0]], sizes[ij[1]])
+    g, h = gradients()
+    ranked = sorted(flat, key=lambda ij: (-_quadrants(grid(g, ij), grid(h, ij), l2)[0], ij))
+    model.pairs = ranked[:max_pairs]
+    model.pair_tables = [np.zeros((sizes[i], sizes[j])) for i, j in model.pairs]
+    for _ in range(pair_rounds):
+        for k, ij in enumerate(model.pairs):
+            g, h = gradients()
+            step = rate * _quadrants(grid(g, ij), grid(h, ij), l2)[1]
+            model.pair_tables[k] += step
+            raw += step.ravel()[flat[ij]]
+    return model
+
+
+def held_out(doc_id: Column) -> Column:
+    """The third of the ids that is never learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_fit_rows: int = 8192, **options) -> Model:
+    """Fit on the ``max_fit_rows`` learnable labels of lowest hash of doc_id."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min(target).cast("int").alias("y"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
+    kind = pa.list_(pa.float64())
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()) for t in texts], kind)
+
+    # the sample's size is fixed, so it can be broadcast; its features are as many rows
+    rows = few_rows_a_batch(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", F.arrow_udf(run, "array<double>")("text").alias("x"))
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
+    x = np.array([r["x"] for r in rows], dtype=float).reshape(-1, len(FEATURES))
+    return fit(x, np.array([r["y"] for r in rows], dtype=float), **options)
+
+
+def _scores(model: Model) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         x = np.array([features(t.as_py()) for t in texts], dtype=float).reshape(-1, len(FEATURES))
         return pa.array(model.score(x), pa.float64())
