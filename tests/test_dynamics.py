@@ -1,3 +1,4 @@
+import os
 import numpy as np
 import pandas as pd
 import pytest
@@ -188,6 +189,7 @@ def test_streams_carry_state_between_triggers(spark, tmp_path):
     src.mkdir()
     for k, rows in enumerate(([(1, 0, 1.0), (1, 1, 2.0)], [(1, 2, 3.0), (2, 0, 5.0)])):
         pd.DataFrame(rows, columns=["u", "k", "v"]).to_json(src / f"{k}.json", orient="records", lines=True)
+        os.utime(src / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))  # files of one moment have no order
     stream = spark.readStream.schema("u long, k long, v double").option("maxFilesPerTrigger", 1).json(str(src))
     for name, df in (("s_ema", series.ema(stream, "u", "k", "v")), ("s_kal", series.kalman_scalar(stream, "u", "k", "v"))):
         q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
