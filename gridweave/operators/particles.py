@@ -13,6 +13,8 @@ ball is in several collisions at once, and no equality is claimed.
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -74,10 +76,14 @@ def step(balls: DataFrame, radius: float, t: float, strength: float = 1e-5) -> D
     return new.select("id", S.advance(F.col("x"), F.col("vx"), t).alias("x"), S.advance(F.col("y"), F.col("vy"), t).alias("y"), "vx", "vy")
 
 
-def simulate(balls: DataFrame, radius: float, t: float, steps: int) -> DataFrame:
-    """``steps`` steps of fixed length; each state is written before the next."""
+def simulate(balls: DataFrame, radius: float, t: float, steps: int, adapt: float = 0.0, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """``steps`` steps; each state is written before the next.  The first step
+    takes ``t``; each later one moves by ``adapt`` towards the seconds that the
+    step before it took by ``clock`` (0: all steps are alike)."""
     for _ in range(steps):
+        start = clock()
         balls = cut(step(balls, radius, t))
+        t = (1 - adapt) * t + adapt * (clock() - start)
     return balls
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,27 +19,43 @@ def ema(df: DataFrame, key: str, order: list[str], value: str, rate: float = 0.1
     """
     rows = df.where(F.col(value).isNotNull())
     back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
-    ranked = rows.select(key, F.col(value).cast("double").alias("_x"), back.alias("_k"), F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("_f"))
-    keep = F.pow(F.lit(1 - rate), F.col("_k") - 1)
-    weight = F.when(F.col("_f") == 1, keep).otherwise(F.lit(rate) * keep)
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight * F.col("_x")).alias("ema"))
+    ranked = rows.select(key, F.col(value).cast("double").alias("_x"), back.alias("_k"))
+    kept = F.pow(F.lit(1 - rate), F.col("_k") - 1) * F.col("_x")
+    return ranked.groupBy(key).agg(F.count("*").alias("n"), (rate * F.sum(kept) + (1 - rate) * F.max_by(kept, "_k")).alias("ema"))
 
 
 def kalman_scalar(df: DataFrame, key: str, order: list[str], value: str, q: float = 1e-2, r: float = 1.0, p0: float = 1.0) -> DataFrame:
-    """(key, n, m, p): a random-walk state seen directly, from m = first value."""
-
-    def step(state: tuple | None, row: tuple) -> tuple | None:
-        if row[0] is None:
-            return state
-        z = float(row[0])
-        if state is None:
-            return 1, z, p0
-        n, m, p = state
-        p = p + q
-        gain = p / (p + r)
-        return n + 1, m + gain * (z - m), (1 - gain) * p
+    """(key, n, m, p): a random-walk state seen directly, from m = first value.
 
-    return fold(df, [key], order, [value], f"{key} long, n long, m double, p double", lambda k: None, step, lambda k, s: [(*k, *s)] if s else [])
+    Gains do not depend on the values, so m is a sum of them by weights that the
+    place in the series gives: a sort by key and an aggregate.  The variance goes
+    p -> (r p + r q) / (p + q + r); ``scale`` is the denominators' product after i
+    values over the i-th power of the larger eigenvalue of that map.
+    """
+    if not (q >= 0 and r > 0 and p0 >= 0):
+        raise ValueError("q and p0 must not be negative, r must be positive")
+    root = math.sqrt(q * (q + 4 * r))
+    top = (q + 2 * r + root) / 2
+    fall = r / top
+
+    def scale(i: Column) -> Column:
+        if not root:
+            return 1 + i * (p0 / r)
+        part = (p0 + q + r - r * fall) / root
+        return part + (1 - part) * F.pow(F.lit(fall), 2 * i)
+
+    def variance(i: Column) -> Column:
+        return top * scale(i + 1) / scale(i) - (q + r)
+
+    place = Window.partitionBy(key).orderBy(*order, value)
+    count = F.count("*").over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    rows = rows.select(key, F.col(value).cast("double").alias("_x"), (F.row_number().over(place) - 1).alias("_i"), (count - 1).alias("_e"))
+    i, e = F.col("_i"), F.col("_e")
+    gain = F.when(i == 0, 1.0).otherwise(variance(i) / r)
+    weight = gain * F.pow(F.lit(fall), e - i) * scale(i) / scale(e)
+    out = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight * F.col("_x")).alias("m"))
+    return out.withColumn("p", variance(F.col("n") - 1))
 
 
 def motion(dt: float, drag: float = 0.0) -> np.ndarray:

@@ -7,7 +7,9 @@ moves and series, ``lineitem`` for vectors, ``customer`` for points of the plane
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce as reduce_all
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import lanes, registers
 from ..functions import scalar as S
 from ..operators import escape, harness, index, moves, neighbor, particles, reduce, regions, track
+from ..session import checkpoint_dir, cut, remove
 from ..sources import arrays, generators
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,17 +312,34 @@ def collide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("id1", "id2", *[(F.round(F.coalesce(hit[k], F.lit(0.0)), 6) + 0.0).alias(f"dv{k[1]}") for k in ("dx", "dy")])
 
 
-@query(f"""WITH {_BALLS}, w AS (SELECT id, x, y, {_WALL.format(x='x', v='vx')} AS vx, {_WALL.format(x='y', v='vy')} AS vy FROM b),
-{_HITS.format(b='w', near=_NEAR)},
-d AS (SELECT id1 AS id, -k * dx AS ax, -k * dy AS ay FROM h UNION ALL SELECT id2, k * dx - 1e-5::DOUBLE * dx, k * dy - 1e-5::DOUBLE * dy FROM h),
-s AS (SELECT id, sum(ax) AS ax, sum(ay) AS ay FROM d GROUP BY id),
-n AS (SELECT w.id, x, y, vx + coalesce(ax, 0) AS vx, vy + coalesce(ay, 0) AS vy FROM w LEFT JOIN s USING (id))
-SELECT id, round(x + vx * 0.01::DOUBLE, 6) AS x, round(y + vy * 0.01::DOUBLE, 6) AS y, round(vx, 6) AS vx, round(vy, 6) AS vy FROM n""")
+def _step_sql(k: int, source: str) -> str:
+    """One step of the balls in ``source``: the table n{k}."""
+    walls = f"w{k} AS (SELECT id, x, y, {_WALL.format(x='x', v='vx')} AS vx, {_WALL.format(x='y', v='vy')} AS vy FROM {source})"
+    hits = _HITS.format(b=f"w{k}", near=_NEAR).replace("m AS", f"m{k} AS").replace("h AS", f"h{k} AS").replace("FROM m)", f"FROM m{k})")
+    return f"""{walls},
+{hits},
+d{k} AS (SELECT id1 AS id, -k * dx AS ax, -k * dy AS ay FROM h{k} UNION ALL SELECT id2, k * dx - 1e-5::DOUBLE * dx, k * dy - 1e-5::DOUBLE * dy FROM h{k}),
+s{k} AS (SELECT id, sum(ax) AS ax, sum(ay) AS ay FROM d{k} GROUP BY id),
+v{k} AS (SELECT w{k}.id, x, y, vx + coalesce(ax, 0) AS vx, vy + coalesce(ay, 0) AS vy FROM w{k} LEFT JOIN s{k} USING (id)),
+n{k} AS (SELECT id, x + vx * 0.01::DOUBLE AS x, y + vy * 0.01::DOUBLE AS y, vx, vy FROM v{k})"""
+
+
+_STATE = "SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(vx, 6) AS vx, round(vy, 6) AS vy FROM"
+
+
+@query(f"WITH {_BALLS}, {_step_sql(1, 'b')} {_STATE} n1")
 def particle_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = particles.step(balls(spark, sf_dir), RADIUS, 0.01)
     return new.select("id", *[F.round(c, 6).alias(c) for c in ("x", "y", "vx", "vy")])
 
 
+@query(f"WITH {_BALLS}, {_step_sql(1, 'b')}, {_step_sql(2, 'n1')}, {_step_sql(3, 'n2')} {_STATE} n3")
+def simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps, each from the written state of the one before."""
+    new = particles.simulate(balls(spark, sf_dir), RADIUS, 0.01, 3)
+    return new.select("id", *[F.round(c, 6).alias(c) for c in ("x", "y", "vx", "vy")])
+
+
 @query(f"WITH {_BALLS} SELECT floor(x / 0.05::DOUBLE)::INTEGER AS gx, floor(y / 0.05::DOUBLE)::INTEGER AS gy, max(id) AS id FROM b GROUP BY ALL")
 def cell_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = balls(spark, sf_dir).select("id", S.grid_cell(F.col("x"), 0.05).alias("gx"), S.grid_cell(F.col("y"), 0.05).alias("gy"), F.lit(0).alias("o"))
@@ -543,3 +563,42 @@ def padded_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, round(s_acctbal * 2, 6) AS result FROM supplier")
 def ordered_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harness.ordered_map(table(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", lambda v: v * 2).withColumn("result", F.round("result", 6))
+
+
+_SIX = ("x", "y", "z", "vx", "vy", "vz")
+
+
+@query(f"SELECT vec_id, {', '.join(f'embedding[{k + 1}]::DOUBLE AS {c}' for k, c in enumerate(_SIX))} FROM embeddings")
+def text_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six dims of every embedding, written as text and read back."""
+    path = f"{checkpoint_dir(spark)}/series-{uuid.uuid4().hex}"
+    dims = [F.get("embedding", k).alias(c) for k, c in enumerate(_SIX)]
+    arrays.write_series(table(spark, sf_dir, "embeddings").select("vec_id", *dims), path)
+    rows = cut(arrays.read_series(spark, path, ["vec_id", *_SIX]))
+    remove(spark, path)
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), *_SIX)
+
+
+@query("SELECT l_suppkey::INTEGER AS i, l_linenumber AS j, round(ln(count(*) + 1), 9) AS v FROM lineitem GROUP BY ALL")
+def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by supplier and number, as an image of log counts."""
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("i"), F.col("l_linenumber").alias("j")).agg(F.count("*").alias("v"))
+    return arrays.log_counts(counts).withColumn("v", F.round("v", 9))
+
+
+@query("SELECT i::INTEGER AS cell, i AS n FROM range(1000) t(i)")
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.counters(spark)
+
+
+@query("SELECT * FROM (VALUES ('balls', 10000::BIGINT, 10000::BIGINT), ('jobs', 10, 10), ('moves', 1000000, 1000000), ('near moves', 1000000, 1000000), ('uniform', 1000000, 1000000)) t(kind, n, within)")
+def generated_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each random input there are, and how many are in range."""
+    on_ring = lambda c: F.col(c).between(0, 999)
+    apart = F.pmod(F.col("dest") - F.col("src"), F.lit(1000))
+    free = (S.distance(F.col("x"), F.col("y")) > 0.25 - 1e-6) & F.greatest("x", "y").between(0.002 - 1e-6, 0.998 + 1e-6) & F.least("x", "y").between(0.002 - 1e-6, 0.998 + 1e-6) & (F.greatest(F.abs("vx"), F.abs("vy")) <= 0.25)
+    inputs = {
+        "balls": (generators.balls(spark, 10_000, 0.002), free), "jobs": (generators.jobs(spark), F.col("job").between(0, 9)), "uniform": (generators.uniform(spark, 1_000_000), (F.col("x") >= 0) & (F.col("x") <= 1)),
+        "moves": (generators.moves(spark, 1_000_000), on_ring("src") & on_ring("dest")), "near moves": (generators.moves(spark, 1_000_000, spread=10), on_ring("src") & on_ring("dest") & ((apart <= 10) | (apart >= 990)))}
+    rows = [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.count_if(within).alias("within")) for kind, (df, within) in inputs.items()]
+    return reduce_all(DataFrame.unionByName, rows)

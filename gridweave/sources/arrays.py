@@ -76,9 +76,19 @@ def to_dense(pixels: DataFrame, value: str = "v", fill: float = 0.0) -> np.ndarr
     return out
 
 
+def log_counts(counts: DataFrame, value: str = "v") -> DataFrame:
+    """(i, j, log(count + 1))."""
+    return counts.select("i", "j", F.log1p(value).alias(value))
+
+
 def draw_counts(counts: DataFrame, value: str = "v") -> np.ndarray:
-    """log(count + 1) as an image."""
-    return to_dense(counts.select("i", "j", F.log1p(value).alias(value)), value)
+    """``log_counts`` as an image."""
+    return to_dense(log_counts(counts, value), value)
+
+
+def write_series(df: DataFrame, path: str) -> None:
+    """Numbers as comma-separated text without header; a file a partition."""
+    df.select(*[F.col(c).cast("double") for c in df.columns]).write.csv(path)
 
 
 def write_pgm(image: np.ndarray) -> bytes:

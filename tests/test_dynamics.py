@@ -199,3 +199,33 @@ def test_streams_carry_state_between_triggers(spark, tmp_path):
     assert got == pytest.approx({(1, 0): 1.0, (1, 1): 1.1, (1, 2): 1.29, (2, 0): 5.0})
     assert spark.table("s_kal").count() == 4
     assert series.rate_by_window(spark.createDataFrame([], "ts timestamp"), "ts").count() == 0
+
+
+@pytest.mark.parametrize(("q", "r", "p0"), [(1e-2, 1.0, 1.0), (0.0, 2.0, 1.5), (0.5, 1e-3, 0.0), (0.0, 1.0, 0.0)])
+def test_kalman_scalar_equals_a_loop(spark, q, r, p0):
+    values = {1: [3.0], 2: [float((7 * k) % 11) for k in range(400)], 3: [None, 1.0, float("nan"), 2.0]}
+    df = spark.createDataFrame([(u, k, v) for u, vs in values.items() for k, v in enumerate(vs)], "u long, k long, v double")
+    got = {x["u"]: x for x in track.kalman_scalar(df, "u", ["k"], "v", q, r, p0).collect()}
+    for u, vs in values.items():
+        vs = [v for v in vs if v is not None and v == v]
+        m, p = vs[0], p0
+        for z in vs[1:]:
+            gain = (p + q) / (p + q + r)
+            m, p = m + gain * (z - m), (1 - gain) * (p + q)
+        assert got[u]["n"] == len(vs)
+        assert got[u]["m"] == pytest.approx(m, abs=1e-9)
+        assert got[u]["p"] == pytest.approx(p, abs=1e-9)
+
+
+def test_series_of_no_rows(spark):
+    df = spark.createDataFrame([], "u long, k long, v double")
+    assert track.kalman_scalar(df, "u", ["k"], "v").count() == track.ema(df, "u", ["k"], "v").count() == 0
+
+
+def test_simulate_adapts_its_step(spark):
+    b = spark.createDataFrame([(1, 0.2, 0.2, 0.1, 0.0), (2, 0.8, 0.8, 0.0, -0.2)], "id long, x double, y double, vx double, vy double")
+    ticks = iter([0.0, 0.5, 1.0, 1.1])
+    got = {r["id"]: (r["x"], r["y"]) for r in particles.simulate(b, 0.01, 0.01, 2, 0.1, lambda: next(ticks)).collect()}
+    whole = 0.01 + (0.9 * 0.01 + 0.1 * 0.5)
+    assert got[1] == pytest.approx((0.2 + 0.1 * whole, 0.2))
+    assert got[2] == pytest.approx((0.8, 0.8 - 0.2 * whole))
