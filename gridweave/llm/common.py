@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from ..session import cut as cut
+from ..session import remove as remove
 
 #: ASCII white space as the contracts list it: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,9 +57,3 @@ def few_rows_a_batch(df: DataFrame, rows: int = 1000) -> DataFrame:
     if not 0 < int(conf.get(key, "10000")) <= rows:
         conf.set(key, str(rows))
     return df
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of intermediate files."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
