@@ -30,32 +30,29 @@ def kalman_scalar(df: DataFrame, key: str, order: list[str], value: str, q: floa
     Gains do not depend on the values, so m is a sum of them by weights that the
     place in the series gives: a sort by key and an aggregate.  The variance goes
     p -> (r p + r q) / (p + q + r); ``scale`` is the denominators' product after i
-    values over the i-th power of the larger eigenvalue of that map.
+    values over the i-th power of the larger eigenvalue of that map, and
+    ``part`` the gain times that.
     """
     if not (q >= 0 and r > 0 and p0 >= 0):
         raise ValueError("q and p0 must not be negative, r must be positive")
     root = math.sqrt(q * (q + 4 * r))
-    top = (q + 2 * r + root) / 2
-    fall = r / top
+    fall = 2 * r / (q + 2 * r + root)
+    c = (p0 + q + r - r * fall) / root if root else 1.0
 
     def scale(i: Column) -> Column:
-        if not root:
-            return 1 + i * (p0 / r)
-        part = (p0 + q + r - r * fall) / root
-        return part + (1 - part) * F.pow(F.lit(fall), 2 * i)
+        return c + (1 - c) * F.pow(F.lit(fall), 2 * i) if root else 1 + i * (p0 / r)
 
-    def variance(i: Column) -> Column:
-        return top * scale(i + 1) / scale(i) - (q + r)
+    def part(i: Column) -> Column:
+        return c * (root - q) / (2 * r) - (1 - c) * (root + q) / (2 * r) * F.pow(F.lit(fall), 2 * i) if root else F.lit(p0 / r)
 
     place = Window.partitionBy(key).orderBy(*order, value)
     count = F.count("*").over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
-    rows = rows.select(key, F.col(value).cast("double").alias("_x"), (F.row_number().over(place) - 1).alias("_i"), (count - 1).alias("_e"))
-    i, e = F.col("_i"), F.col("_e")
-    gain = F.when(i == 0, 1.0).otherwise(variance(i) / r)
-    weight = gain * F.pow(F.lit(fall), e - i) * scale(i) / scale(e)
+    rows = rows.select(key, F.col(value).cast("double").alias("_x"), (F.row_number().over(place) - 1).alias("_i"), count.alias("_n"))
+    i, end = F.col("_i"), F.col("n") - 1
+    weight = F.when(i == 0, 1.0).otherwise(part(i)) * F.pow(F.lit(fall), F.col("_n") - 1 - i)
     out = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(weight * F.col("_x")).alias("m"))
-    return out.withColumn("p", variance(F.col("n") - 1))
+    return out.select(key, "n", (F.col("m") / scale(end)).alias("m"), (r * part(end) / scale(end)).alias("p"))
 
 
 def motion(dt: float, drag: float = 0.0) -> np.ndarray:
