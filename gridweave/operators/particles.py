@@ -6,15 +6,15 @@ is an equi-join on cells, never a comparison of all with all.
 
 The step is order-free: all velocity changes are taken from the state before
 and summed by ball, so that it runs in parallel.  ``exact_step`` applies pairs
-one after another, in the order of ids, in one task; the two differ where a
-ball is in several collisions at once, and no equality is claimed.
+as if one after another, in the order of ids, in one task; the two differ where
+a ball is in several collisions at once, and no equality is claimed.
 """
 
 from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ from ..functions import scalar as S
 from ..session import cut
 
 HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
+#: In ``exact_step``: balls looked up, candidates compared and pairs applied at a time.
+ROWS, CANDIDATES, PAIRS = 1 << 16, 1 << 17, 1 << 22
 
 
 def pairs(balls: DataFrame, radius: float, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -87,28 +89,101 @@ def simulate(balls: DataFrame, radius: float, t: float, steps: int, adapt: float
     return balls
 
 
+def _cells(at: np.ndarray) -> np.ndarray:
+    """The numbers of cells along one axis, with gaps of empty ones cut to one."""
+    taken, back = np.unique(at, return_inverse=True)
+    return np.concatenate(([0.0], np.cumsum(np.minimum(np.diff(taken), 2)))).astype(np.int64)[back]
+
+
+def _overlaps(x: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, m) with k < m of all overlapping balls, in chunks; a k's pairs are all
+    in one chunk, and chunks come by k."""
+    cell = np.floor(x / (2 * radius * (1 + 1e-9)))  # a rounded quotient must not part balls that just overlap
+    placed = np.flatnonzero(np.isfinite(cell).all(axis=1))
+    n = len(placed)
+    if not n:
+        return
+    gx, gy = _cells(cell[placed, 0]), _cells(cell[placed, 1])
+    width = gy.max() + 3
+    code = gx * width + gy
+    around = np.array([da * width + db for da in (-1, 0, 1) for db in (-1, 0, 1)])
+    codes, own = np.unique(code, return_inverse=True)
+    members = np.argsort(own, kind="stable")
+    keys = own[members] * n + members
+    last = np.append(np.searchsorted(own[members], np.arange(len(codes)), side="right"), n)
+    x, y = x[placed].T.copy()
+    xs, ys = x[members], y[members]
+    for a in range(0, n, ROWS):
+        k = np.arange(a, min(n, a + ROWS))
+        wanted = code[k, None] + around
+        near = np.searchsorted(codes, wanted)
+        near[codes[np.minimum(near, len(codes) - 1)] != wanted] = len(codes)
+        begin = np.searchsorted(keys, near * n + k[:, None], side="right")
+        count = last[near] - begin
+        upto = np.append(0, np.cumsum(count.sum(axis=1)))
+        row = 0
+        while row < len(k):
+            to = max(row + 1, int(np.searchsorted(upto, upto[row] + CANDIDATES, side="right")) - 1)
+            many, each = count[row:to].ravel(), count[row:to].sum(axis=1)
+            at = np.arange(upto[to] - upto[row]) + np.repeat(begin[row:to].ravel() - (np.cumsum(many) - many), many)
+            dx, dy = np.repeat(x[k[row:to]], each) - xs[at], np.repeat(y[k[row:to]], each) - ys[at]
+            met = np.flatnonzero(dx * dx + dy * dy < 4 * radius * radius)
+            yield placed[np.repeat(k[row:to], each)[met]], placed[members[at[met]]]
+            row = to
+
+
+def _collide(links: np.ndarray, x: np.ndarray, v: np.ndarray, strength: float) -> None:
+    """Change ``v`` by pairs (k, m) in their order.
+
+    ``links`` has k << 32 | m and m << 32 | k of each pair.  A ball meets others
+    by their ids, so a pair's turn has come when each of its balls has the other
+    as its next.  Such pairs share no ball, and are done at once.
+    """
+    n = len(x)
+    other = np.sort(np.concatenate((links, (np.arange(n) << 32) | n)))  # a ball's list ends with n
+    other &= (1 << 32) - 1
+    at = np.append(0, np.flatnonzero(other == n)[:-1] + 1)
+    after = np.append(other[at], -1)
+    seen = np.empty(n, np.int64)
+    k = np.flatnonzero((after[after[:n]] == np.arange(n)) & (np.arange(n) < after[:n]))
+    (px, py), (vx, vy) = x.T.copy(), v.T.copy()
+    while len(k):
+        m = after.take(k)
+        dx, dy = px.take(k) - px.take(m), py.take(k) - py.take(m)
+        ax, ay, bx, by = vx.take(k), vy.take(k), vx.take(m), vy.take(m)
+        gap, along = dx * dx + dy * dy, dx * (ax - bx) + dy * (ay - by)
+        hit = np.fmin(along, 0.0) / np.maximum(gap, 5e-324)  # 0 if they move apart or lie on one point
+        cx, cy = hit * dx, hit * dy
+        vx[k], vy[k] = ax - cx, ay - cy
+        vx[m], vy[m] = bx + cx - strength * dx, by + cy - strength * dy
+        moved = np.concatenate((k, m))
+        to = at.take(moved) + 1
+        at[moved] = to
+        to = other.take(to)
+        after[moved] = to
+        ready = np.flatnonzero(after.take(to) == moved)
+        k = np.minimum(moved.take(ready), to.take(ready))
+        seen[k] = ready  # a pair found from both of its balls counts once
+        k = k[seen.take(k) == ready]
+    v[:, 0], v[:, 1] = vx, vy
+
+
+@np.errstate(all="ignore")
 def _exact(part: pd.DataFrame, radius: float, t: float, strength: float) -> pd.DataFrame:
-    part = part.sort_values("id", ignore_index=True)
+    part = part.sort_values(["id", "x", "y", "vx", "vy"], ignore_index=True)
     x, v = part[["x", "y"]].to_numpy(float), part[["vx", "vy"]].to_numpy(float)
     flip = ((x < radius) & (v < 0)) | ((x > 1 - radius) & (v > 0))
     v[flip] = -v[flip]
-    cells: dict[tuple[int, int], list[int]] = {}
-    side = 2 * radius
-    where = np.floor(x / side).astype(int)
-    for k, (a, b) in enumerate(where.tolist()):
-        cells.setdefault((a, b), []).append(k)
-    for k, (a, b) in enumerate(where.tolist()):
-        near = sorted(m for da in (-1, 0, 1) for db in (-1, 0, 1) for m in cells.get((a + da, b + db), ()) if m > k)
-        for m in near:
-            d = x[k] - x[m]
-            gap = float(d @ d)
-            if gap >= 4 * radius * radius:
-                continue
-            if gap > 0 and float(d @ (v[k] - v[m])) <= 0:
-                change = float((v[k] - v[m]) @ d) / gap * d
-                v[k] -= change
-                v[m] += change
-            v[m] -= strength * d
+    links: list[np.ndarray] = []
+    held = 0
+    for k, m in _overlaps(x, radius):
+        links += [(k << 32) | m, (m << 32) | k]
+        held += len(k)
+        if held >= PAIRS:
+            _collide(np.concatenate(links), x, v, strength)
+            links, held = [], 0
+    if held:
+        _collide(np.concatenate(links), x, v, strength)
     x = x + v * t
     return part.assign(x=x[:, 0], y=x[:, 1], vx=v[:, 0], vy=v[:, 1])
 
@@ -116,8 +191,9 @@ def _exact(part: pd.DataFrame, radius: float, t: float, strength: float) -> pd.D
 def exact_step(balls: DataFrame, radius: float, t: float, strength: float = 1e-5) -> DataFrame:
     """One step with pairs in the order of ids, each seeing the ones before.
 
-    All balls are one group in one task, as the meaning demands; for large
-    numbers use ``step``.
+    All balls are one group in one task, as the meaning demands: it holds the
+    balls and some millions of pairs at a time.  Its work grows with the number
+    of pairs; for more of them use ``step``.
     """
     shape = "id long, x double, y double, vx double, vy double"
     rows = balls.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y", "vx", "vy")])

@@ -1,4 +1,6 @@
 import os
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -90,6 +92,77 @@ def test_steps_agree_without_shared_balls_and_conserve_energy(spark):
     assert particles.simulate(b, 0.01, 0.01, 2).count() == 5
 
 
+def cluster(n, seed, spread=0.1):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({"id": rng.permutation(n), **{c: rng.normal(0.0, spread, n) for c in ("x", "y", "vx", "vy")}})
+
+
+def one_by_one(balls, radius, t, strength):
+    part = balls.sort_values(["id", "x", "y", "vx", "vy"])
+    x, v = part[["x", "y"]].to_numpy(float), part[["vx", "vy"]].to_numpy(float)
+    flip = ((x < radius) & (v < 0)) | ((x > 1 - radius) & (v > 0))
+    v[flip] = -v[flip]
+    for k in range(len(x)):
+        for m in range(k + 1, len(x)):
+            d = x[k] - x[m]
+            gap = d[0] * d[0] + d[1] * d[1]
+            if gap < 4 * radius * radius:
+                e = v[k] - v[m]
+                along = d[0] * e[0] + d[1] * e[1]
+                if gap > 0 and along <= 0:
+                    v[k], v[m] = v[k] - along / gap * d, v[m] + along / gap * d
+                v[m] = v[m] - strength * d
+    return np.column_stack((part["id"], x + v * t, v))
+
+
+@pytest.mark.parametrize("chunks", [None, (7, 50, 100), (64, 1, 1)])
+def test_exact_step_equals_a_loop_over_all_pairs(monkeypatch, chunks):
+    for name, size in zip(("ROWS", "CANDIDATES", "PAIRS"), chunks or ()):
+        monkeypatch.setattr(particles, name, size)
+    for n, radius, seed in ((150, 0.02, 0), (150, 0.1, 1), (60, 1.0, 2), (150, 1e-6, 3), (1, 0.1, 4)):
+        b = cluster(n, seed)
+        b.loc[n // 2 :: 9, ["x", "y"]] = b.loc[0, ["x", "y"]].to_numpy()  # several on one point
+        b.loc[n // 3 :: 11, "id"] = 5
+        b.loc[n // 2 :: 13, "x"] = [np.nan, np.inf, 1e300, -1e17][seed % 4]
+        b.loc[n // 4 :: 17, "vy"] = np.nan
+        with np.errstate(all="ignore"):
+            np.testing.assert_array_equal(particles._exact(b, radius, 0.01, 1e-3).to_numpy(float), one_by_one(b, radius, 0.01, 1e-3))
+
+
+def test_exact_step_of_balls_in_a_row():
+    b = pd.DataFrame({"id": np.arange(300), "x": np.arange(300) * 0.003, "y": 0.5, "vx": 0.1, "vy": 0.0})
+    b.loc[0, "vx"] = 1.0
+    np.testing.assert_array_equal(particles._exact(b, 0.002, 0.01, 0.0).to_numpy(float), one_by_one(b, 0.002, 0.01, 0.0))
+
+
+def test_exact_step_takes_few_statements_for_many_pairs():
+    b, lines = cluster(2000, 0), 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(lambda frame, event, arg: count if frame.f_code.co_filename == particles.__file__ else None)
+    try:
+        particles._exact(b, 0.05, 0.01, 1e-5)
+    finally:
+        sys.settrace(before)
+    at = b[["x", "y"]].to_numpy()
+    pairs = int(np.triu(((at[:, None] - at) ** 2).sum(axis=2) < 0.01, 1).sum())
+    assert pairs > 200_000 and lines < pairs / 5
+
+
+def test_exact_step_leaves_balls_without_a_place_alone(spark):
+    rows = [(0, None, 0.5, 0.1, 0.0), (1, None, 0.5, -0.1, 0.0), (2, 0.5, 0.5, 0.1, 0.0), (3, 0.505, 0.5, -0.1, 0.0)]
+    b = spark.createDataFrame(rows, "id long, x double, y double, vx double, vy double")
+    got = {r["id"]: (r["x"], r["vx"], r["vy"]) for r in particles.exact_step(b, 0.01, 0.0, 1e-5).collect()}
+    assert got[0] == (None, 0.1, 0.0) and got[1] == (None, -0.1, 0.0)
+    assert got[2][1] == pytest.approx(-0.1) and got[3][1] == pytest.approx(0.1, abs=1e-6)
+    assert particles.exact_step(b.limit(0), 0.01, 0.01).count() == 0
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(100, 101), (101, 100), (200, 200)], "a long, b long"))
     got = {r["node"]: r["label"] for r in graph.components(edges).collect()}
