@@ -26,7 +26,7 @@ from ..session import cut
 
 HALF = [(0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 #: In ``exact_step``: balls looked up, candidates compared and pairs applied at a time.
-ROWS, CANDIDATES, PAIRS = 1 << 16, 1 << 17, 1 << 22
+ROWS, CANDIDATES, PAIRS = 1 << 16, 1 << 17, 1 << 23
 
 
 def pairs(balls: DataFrame, radius: float, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -132,15 +132,17 @@ def _overlaps(x: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.nda
             row = to
 
 
-def _collide(links: np.ndarray, x: np.ndarray, v: np.ndarray, strength: float) -> None:
+def _collide(links: list[np.ndarray], x: np.ndarray, v: np.ndarray, strength: float) -> None:
     """Change ``v`` by pairs (k, m) in their order.
 
-    ``links`` has k << 32 | m and m << 32 | k of each pair.  A ball meets others
-    by their ids, so a pair's turn has come when each of its balls has the other
+    ``links`` has k << 32 | m and m << 32 | k of each pair, and is emptied.  A
+    ball meets others by their ids, so a pair's turn has come when each of its balls has the other
     as its next.  Such pairs share no ball, and are done at once.
     """
     n = len(x)
-    other = np.sort(np.concatenate((links, (np.arange(n) << 32) | n)))  # a ball's list ends with n
+    other = np.concatenate((*links, (np.arange(n) << 32) | n))  # a ball's list ends with n
+    links.clear()
+    other.sort()
     other &= (1 << 32) - 1
     at = np.append(0, np.flatnonzero(other == n)[:-1] + 1)
     after = np.append(other[at], -1)
@@ -180,10 +182,10 @@ def _exact(part: pd.DataFrame, radius: float, t: float, strength: float) -> pd.D
         links += [(k << 32) | m, (m << 32) | k]
         held += len(k)
         if held >= PAIRS:
-            _collide(np.concatenate(links), x, v, strength)
-            links, held = [], 0
+            _collide(links, x, v, strength)
+            held = 0
     if held:
-        _collide(np.concatenate(links), x, v, strength)
+        _collide(links, x, v, strength)
     x = x + v * t
     return part.assign(x=x[:, 0], y=x[:, 1], vx=v[:, 0], vy=v[:, 1])
 
