@@ -136,8 +136,9 @@ def _collide(links: list[np.ndarray], x: np.ndarray, v: np.ndarray, strength: fl
     """Change ``v`` by pairs (k, m) in their order.
 
     ``links`` has k << 32 | m and m << 32 | k of each pair, and is emptied.  A
-    ball meets others by their ids, so a pair's turn has come when each of its balls has the other
-    as its next.  Such pairs share no ball, and are done at once.
+    ball meets others by their ids, so a pair's turn has come when each of its
+    balls has the other as its next.  Such pairs share no ball, and are done at
+    once.
     """
     n = len(x)
     other = np.concatenate((*links, (np.arange(n) << 32) | n))  # a ball's list ends with n
